@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.ranks import salt
+from marlstone.llm import sieve
 from marlstone.session import cut
 
 # --- fixed values: public formats of tokens and names of credentials ---
@@ -261,23 +262,6 @@ def _scan_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_id", "_owner", "start_pos", "n_chars", "kind", "value"])
 
 
-def _bit_words(values: DataFrame, bits: int) -> np.ndarray:
-    """A bit array over the anchors of all values; its size is bits, whatever the corpus holds."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = np.zeros(bits // 64, np.uint64)
-        for b in batches:
-            at = b["anchor"].to_numpy(np.int64).view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(mine, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        used = np.flatnonzero(mine)
-        yield pd.DataFrame({"word": used, "bits": mine[used].view(np.int64)})
-
-    words = np.zeros(bits // 64, np.uint64)
-    got = values.select("anchor").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
-
-
 def _with_anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         at = [int(_anchors(_codes(v[:ANCHOR]))[0].view(np.int64)) for v in b["value"]]
@@ -336,9 +320,7 @@ def find_credentials(df: DataFrame, key: str = "submission_id", owner: str = "pr
     rare = cut(hits.join(shared, "value", "left_anti"), "rare")
     values = rare.filter("kind <> 'piece' AND value IS NOT NULL AND length(value) >= 8").select("value").distinct().mapInPandas(_with_anchor, "anchor long, value string")
     values = cut(values, "values")
-    n = values.count()
-    bits = min(most_bits, 1 << max(16, (16 * n).bit_length()))
-    words = spark.sparkContext.broadcast(_bit_words(values, bits))
+    words = spark.sparkContext.broadcast(sieve.build(values, "anchor", sieve.bits_for(values.count(), most_bits)))
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = words.value
@@ -347,8 +329,7 @@ def find_credentials(df: DataFrame, key: str = "submission_id", owner: str = "pr
             codes = [_codes(t) for t in b["_text"]]
             ends = np.cumsum([len(c) for c in codes])
             h = _anchors(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
-            at = h % np.uint64(bits)
-            yes = np.flatnonzero((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            yes = np.flatnonzero(sieve.passes(table, h))
             rows = np.searchsorted(ends, yes, side="right")
             yield pd.DataFrame({"_id": b["_id"].to_numpy()[rows], "anchor": h[yes].view(np.int64)}).drop_duplicates()
 

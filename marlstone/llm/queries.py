@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import credentials, splitting, survivors
+from marlstone.llm import credentials, mixing, packing, spans, splitting, survivors, tokens
+from marlstone.session import cut
 from marlstone.tables import table
 
 
@@ -43,7 +46,50 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces)}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's size in tokens, counted once."""
+    return cut(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", keep=["source"]), "sizes")
+
+
+def _windows(spark: SparkSession, d: str, most: int = 100) -> list[tuple[str, int]]:
+    rows = table(spark, d, "context_windows").select("window_name", "capacity_tokens").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} windows")
+    return sorted((r["window_name"] or "", r["capacity_tokens"]) for r in rows if r["capacity_tokens"] and r["capacity_tokens"] > 0)
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each window."""
+    sizes = _sizes(spark, d)
+    parts = [packing.pack(sizes, c).select(F.lit(w).alias("window_name"), "container_no", "doc_id", "piece_no", "start_token", "n_tokens") for w, c in _windows(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each window are."""
+    sizes = _sizes(spark, d)
+    return reduce(DataFrame.unionByName, [packing.fill(packing.pack(sizes, c), c).select(F.lit(w).alias("window_name"), "*") for w, c in _windows(spark, d)])
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "source_weights"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, weights = _sizes(spark, d), table(spark, d, "source_weights")
+    return mixing.shares(sizes, weights, mixing.mix(sizes, weights))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return spans.shared_shares(docs, spans.shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_shares)}
 
 _P3 = r"""
 r AS (SELECT DISTINCT e.record_id, e.model_id, e.name, e.context, e.attributes, coalesce(t.trust_rank, 999) tr, coalesce(e.extracted_at, TIMESTAMP '0001-01-01') ts,
