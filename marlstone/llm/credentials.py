@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -355,11 +356,12 @@ def blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 def redact(df: DataFrame, found: DataFrame, key: str = "submission_id", text: str = "content") -> DataFrame:
     """df with the found spans of text blanked, all other columns and rows as they are, repeats included."""
-    lists = found.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start_pos", "n_chars")).alias("_spans"))
-    both = df.join(lists, df[key].eqNullSafe(lists["_key"]), "left").drop("_key")
+    own, spans = f"_key_{uuid.uuid4().hex}", f"_spans_{uuid.uuid4().hex}"  # no column of df is called so
+    lists = found.groupBy(F.col(key).alias(own)).agg(F.collect_list(F.struct("start_pos", "n_chars")).alias(spans))
+    both = df.join(lists, df[key].eqNullSafe(lists[own]), "left").drop(own)
 
     @F.pandas_udf("string")
-    def blanked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None else blank(t, [(x["start_pos"], x["n_chars"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
+    def blanked(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or s is None else blank(t, [(x["start_pos"], x["n_chars"]) for x in s]) for t, s in zip(texts, places)], dtype=object)
 
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(blanked(F.col(text), F.col("_spans")))).drop("_spans")
+    return both.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(blanked(F.col(text), F.col(spans)))).drop(spans)

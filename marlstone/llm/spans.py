@@ -101,6 +101,27 @@ def _anchored(b: pd.DataFrame, span: int):
         yield ids[of[at]], h[k][at], right, left, (at - starts[of[at]]).astype(np.int32)
 
 
+def _settled(held: list[tuple]) -> pd.DataFrame:
+    """The full windows of some texts, with alone: 0 for rows that still have to meet the other texts' rows.
+
+    A window that two of these texts have is settled here: only its first row of the smallest and of the greatest id
+    go on to meet others, the rest, which may be many, carry a number of their own and meet nobody.
+    """
+    ids, one, two, at = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((ids, two, one))
+    ids, one, two, at = ids[order], one[order], two[order], at[order]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    group = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
+    shared = (ids[first] != ids[last])[group]
+    alone = np.where(shared, ids * 2 + 1, 0)  # odd, so never 0
+    alone[first] = 0
+    alone[last] = 0
+    return pd.DataFrame({"_id": ids, "h1": one, "h2": two, "at": at, "alone": alone})
+
+
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     """The keys that rows of two or more ids have; combined before they move."""
     return rows.groupBy(*key).agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).filter("_low < _high").select(*key)
@@ -162,6 +183,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
     def third_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            held: list[tuple] = []
             for key_, text_, anchors in zip(b["_id"], b["_text"], b["anchors"]):
                 codes = _codes(text_)
                 n = len(codes) - span + 1
@@ -172,12 +194,17 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
                     edges[max(0, min(n, a + 1))] -= 1
                 at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 one, two = (window_hashes(codes, (span,), seed)[span][at].view(np.int64) for seed in (1, 7))
-                yield pd.DataFrame({"_id": np.full(len(at), key_, np.int64), "h1": one, "h2": two, "at": at.astype(np.int32)})
+                held.append((np.full(len(at), key_, np.int64), one, two, at.astype(np.int32)))
+                if sum(len(h[0]) for h in held) >= AT_ONCE:
+                    yield _settled(held)
+                    held = []
+            if held:
+                yield _settled(held)
 
     texts = only.join(F.broadcast(left) if sent <= MOST_SENT else left, "_id").select("_id", "_text", "anchors")
-    full = texts.mapInPandas(third_level, "_id long, h1 long, h2 long, at int")
-    by = W.partitionBy("h1", "h2")
-    full = full.withColumn("_low", F.min("_id").over(by)).withColumn("_high", F.max("_id").over(by)).filter("_low < _high")
+    full = texts.mapInPandas(third_level, "_id long, h1 long, h2 long, at int, alone long")
+    by = W.partitionBy("h1", "h2", "alone")
+    full = full.withColumn("_low", F.min("_id").over(by)).withColumn("_high", F.max("_id").over(by)).filter("alone <> 0 OR _low < _high")
     spans = merge(full.select("_id", F.col("at").alias("a"), (F.col("at") + span).alias("z")))
     whole = copied.select("_id", F.lit(0).alias("a"), F.col("n").alias("z"))
     firsts = copied.filter("_id = first").select("_id")
