@@ -61,14 +61,15 @@ def _windows(spark: SparkSession, d: str, most: int = 100) -> list[tuple[str, in
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """Every document in containers of each window."""
     sizes = _sizes(spark, d)
-    parts = [packing.pack(sizes, c).select(F.lit(w).alias("window_name"), "container_no", "doc_id", "piece_no", "start_token", "n_tokens") for w, c in _windows(spark, d)]
+    # each window is written by itself, so that no plan holds all of them
+    parts = [cut(packing.pack(sizes, c).select(F.lit(w).alias("window_name"), "container_no", "doc_id", "piece_no", "start_token", "n_tokens"), "packed") for w, c in _windows(spark, d)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers of each window are."""
     sizes = _sizes(spark, d)
-    return reduce(DataFrame.unionByName, [packing.fill(packing.pack(sizes, c), c).select(F.lit(w).alias("window_name"), "*") for w, c in _windows(spark, d)])
+    return reduce(DataFrame.unionByName, [packing.fill(cut(packing.pack(sizes, c), "packed"), c).select(F.lit(w).alias("window_name"), "*") for w, c in _windows(spark, d)])
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
