@@ -105,11 +105,11 @@ def split(df: DataFrame, limits: DataFrame, key: str = "chunk_id", at: str = "lo
     kind = lambda c: df.schema[c].dataType.simpleString()
     rows = df.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(text).alias("_text"), limit_of(F.col(type_), limits).alias("_l")).select("_key", "_at", "_text", "_l.*", F.length("_text").alias("total"))
     rows = rows.filter("total > max_chars")
-    length = F.greatest(F.lit(range_chars), 4 * F.col("max_chars"))  # a range holds several pieces
+    length = F.greatest(F.lit(range_chars), 4 * F.col("max_chars").cast("bigint"))  # a range holds several pieces
     ranged = rows.withColumn("range_len", length).withColumn("range_no", F.explode(F.sequence(F.lit(0), ((F.col("total") - 1) / F.col("range_len")).cast("int"))))
     # the halo: as far back as the seam and the overlap may reach
-    off = F.greatest(F.lit(0), F.col("range_no").cast("bigint") * F.col("range_len") - 2 * F.col("max_chars") - 2).cast("int")
-    ranged = ranged.withColumn("off", off).withColumn("slice", F.expr("substring(_text, off + 1, cast((range_no + 1) * range_len as int) - off + 1)"))
+    off = F.greatest(F.lit(0), F.col("range_no") * F.col("range_len") - 2 * F.col("max_chars").cast("bigint") - 2).cast("int")
+    ranged = ranged.withColumn("off", off).withColumn("slice", F.expr("substring(_text, off + 1, cast(least((range_no + 1) * range_len, total) as int) - off + 1)"))
     schema = f"_key {kind(key)}, _at {kind(at)}, range_no int, k int, start_pos int, n_chars int, cut_kind string, lead int, trail int, body int, inner int, limit int" + ", piece string" * with_text
     made = ranged.select("_key", "_at", "range_no", "off", "range_len", "total", "max_chars", "overlap_chars", "slice").mapInPandas(_worker(with_text), schema)
     return made.withColumnsRenamed({"_key": key, "_at": at})
