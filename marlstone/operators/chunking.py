@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.strings import strip
+from marlstone.functions.strings import let, strip
 
 # --- fixed values: sizes and the form of headings ---
 CHUNK_SIZE, OVERLAP, HEADING_LIMIT, CHUNKS_A_PAGE, WINDOW = 250, 30, 150, 3, 10_000
@@ -26,52 +26,52 @@ def sections(text: Column, dotted_headers: bool = False) -> Column:
     number of sections before it. A text in which no section has a line is one section '1', 'Document Content'.
     """
     pattern = NUMBERED_DOTTED if dotted_headers else NUMBERED
-    parts = F.split(text, "\n")
-
-    def heading(line: Column, i: Column) -> Column:
-        s = strip(line)
-        short = F.length(s) < HEADING_LIMIT
-        number = F.when(short, F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")))
-        title = F.when(number.isNotNull(), F.concat(number, F.lit(" "), F.regexp_extract(s, pattern, 2))).when(short & s.startswith("#"), strip(F.regexp_replace(s, "^#+", "")))
-        return F.struct(i.alias("at"), number.alias("number"), title.alias("name"))
-
-    heads = F.filter(F.transform(parts, heading), lambda h: h["name"].isNotNull())
-    first = F.struct(F.lit(-1).alias("at"), F.lit("0").alias("number"), F.lit("Preamble").alias("name"))
-    starts = F.concat(F.array(first), heads)
-    ends = F.concat(F.transform(heads, lambda h: h["at"]), F.array(F.size(parts)))
-    spans = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.struct(z["s"]["number"].alias("number"), z["s"]["name"].alias("name"), (z["s"]["at"] + 1).alias("from"), (z["e"] - z["s"]["at"] - 1).alias("n")))
-    kept = F.filter(spans, lambda s: s["n"] > 0)
-    made = F.transform(
-        kept,
-        lambda s, i: F.struct(F.coalesce(s["number"], (i + 1).cast("string")).alias("number"), s["name"].alias("name"), F.array_join(F.transform(F.slice(parts, s["from"] + 1, s["n"]), lambda x: F.coalesce(x, F.lit(""))), "\n").alias("content")),
-    )
-    whole = F.array(F.struct(F.lit("1").alias("number"), F.lit("Document Content").alias("name"), text.alias("content")))
-    return F.when(text.isNull(), None).when(F.size(kept) == 0, whole).otherwise(made)
+
+    def heading(h: Column) -> Column:
+        number = F.nullif(F.regexp_extract(h["line"], pattern, 1), F.lit(""))
+        named = lambda n: F.struct(h["at"].alias("at"), n.alias("number"), F.when(n.isNotNull(), F.concat(n, F.lit(" "), F.regexp_extract(h["line"], pattern, 2))).when(h["line"].startswith("#"), strip(F.ltrim(h["line"], F.lit("#")))).alias("name"))
+        return let(number, named)
+
+    def made(parts: Column) -> Column:
+        # most lines are no headings by their length or first character, without a pattern
+        short = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("at"), strip(x).alias("line"))), lambda h: (F.length(h["line"]) < HEADING_LIMIT) & h["line"].rlike(r"^[#\p{Nd}]"))
+        return let(F.filter(F.transform(short, heading), lambda h: h["name"].isNotNull()), lambda heads: between(parts, heads))
+
+    def between(parts: Column, heads: Column) -> Column:
+        first = F.struct(F.lit(-1).alias("at"), F.lit("0").alias("number"), F.lit("Preamble").alias("name"))
+        ends = F.concat(F.transform(heads, lambda h: h["at"]), F.array(F.size(parts)))
+        spans = F.zip_with(F.concat(F.array(first), heads), ends, lambda s, e: F.struct(s["number"].alias("number"), s["name"].alias("name"), (s["at"] + 1).alias("from"), (e - s["at"] - 1).alias("n")))
+        kept = F.filter(spans, lambda s: s["n"] > 0)
+        content = lambda s: F.array_join(F.slice(parts, s["from"] + 1, s["n"]), "\n")
+        rows = F.transform(kept, lambda s, i: F.struct(F.coalesce(s["number"], (i + 1).cast("string")).alias("number"), s["name"].alias("name"), content(s).alias("content")))
+        whole = F.array(F.struct(F.lit("1").alias("number"), F.lit("Document Content").alias("name"), F.array_join(parts, "\n").alias("content")))
+        return let(rows, lambda r: F.when(F.size(r) == 0, whole).otherwise(r))
+
+    return F.when(text.isNotNull(), let(F.split(text, "\n"), made))
 
 
 def overlap_tail(text: Column, overlap: int = OVERLAP) -> Column:
     """What the next chunk repeats: the last characters, from their first sentence's end if that is not near an edge."""
-    tail = F.substring(text, -overlap, overlap)
-    at = F.instr(tail, ". ")
-    inside = (at > 1) & (at < F.length(tail) - 9)
-    return F.when(F.length(text) <= overlap, text).when(inside, F.substr(tail, at + 2)).otherwise(tail)
+    def cut(tail: Column) -> Column:
+        at = F.instr(tail, ". ")
+        return F.when((at > 1) & (at < F.length(tail) - 9), F.substr(tail, at + 2)).otherwise(tail)
+
+    return F.when(F.length(text) <= overlap, text).otherwise(let(F.substring(text, -overlap, overlap), cut))
 
 
 def pack_paragraphs(name: Column, content: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
     """The chunks of one section, its name above each: paragraphs are added while they fit; one is never cut."""
-    body = strip(content)
-    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
+    paragraphs = lambda body: F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, p: Column) -> Column:
         longer = F.when(acc["cur"] == "", p).otherwise(F.concat(acc["cur"], F.lit("\n\n"), p))
         flush = (F.length(longer) > size) & (acc["cur"] != "")
-        tail = overlap_tail(acc["cur"], overlap)
-        fresh = F.when(tail == "", p).otherwise(F.concat(tail, F.lit("\n\n"), p))
+        fresh = let(overlap_tail(acc["cur"], overlap), lambda tail: F.when(tail == "", p).otherwise(F.concat(tail, F.lit("\n\n"), p)))
         return F.struct(F.when(flush, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(flush, fresh).otherwise(longer).alias("cur"))
 
-    packed = F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
-    bodies = F.when(F.length(body) <= size, F.array(body)).otherwise(packed)
+    packed = lambda body: F.aggregate(paragraphs(body), start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
+    bodies = let(strip(content), lambda body: F.when(F.length(body) <= size, F.array(body)).otherwise(packed(body)))
     return F.transform(bodies, lambda b: F.concat(name, F.lit("\n\n"), b))
 
 

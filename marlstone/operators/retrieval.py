@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.strings import strip
+from marlstone.functions.strings import let, strip
 from marlstone.operators.vector import embed, hashed_words, knn
 
 # --- fixed values: how quoted terms and summaries are told, and their sizes ---
@@ -27,12 +27,23 @@ def query_text(message: Column) -> Column:
 
 def summary(text: Column) -> Column:
     """The first telling sentence of a chunk below its heading, at most 200 characters."""
-    parts = F.split(text, "\n")
-    body = F.when(F.size(parts) > 2, F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1)))).otherwise(parts)
-    content = F.array_join(body, "\n")
-    found = lambda p: F.when(content.rlike(p), F.left(strip(F.regexp_extract(content, p, 1)), F.lit(SUMMARY_LIMIT)))
-    plain = F.filter(F.transform(body, strip), lambda x: (F.length(x) > 20) & ~x.rlike(r"^[-*#]"))
-    return F.coalesce(found(IMPORTANT), found(NEVER), found(MUST), F.left(F.get(plain, F.lit(0)), F.lit(SUMMARY_LIMIT)), F.when(text.isNotNull(), F.lit(NO_SUMMARY)))
+    def below(parts: Column) -> Column:
+        body = F.when(F.size(parts) > 2, F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1)))).otherwise(parts)
+        return let(body, first)
+
+    def first(body: Column) -> Column:
+        plain = F.filter(F.transform(body, strip), lambda x: (F.length(x) > 20) & ~x.rlike(r"^[-*#]"))
+        sentence = F.coalesce(F.left(F.get(plain, F.lit(0)), F.lit(SUMMARY_LIMIT)), F.lit(NO_SUMMARY))
+        return let(F.array_join(body, "\n"), lambda content: F.coalesce(*telling(content), sentence))
+
+    def telling(content: Column) -> list[Column]:
+        # a plain word that the pattern needs is looked for first: the patterns start anywhere
+        low = F.lower(content)
+        found = lambda word, p: F.when(word, let(F.regexp_extract(content, p, 0), lambda m: F.when(m != "", F.left(strip(F.regexp_extract(m, p, 1)), F.lit(SUMMARY_LIMIT)))))
+        must = F.contains(low, F.lit("must"))
+        return [found(F.contains(low, F.lit("important:")), IMPORTANT), found((must | F.contains(low, F.lit("should"))) & low.rlike(r"(?:should|must)\s+not"), NEVER), found(must, MUST)]
+
+    return F.when(text.isNotNull(), let(F.split(text, "\n"), below))
 
 
 def search(queries: DataFrame, index: DataFrame, n: int | None = TOP_K, embedder: Callable[[pd.Series], pd.Series] = hashed_words, where: Column | None = None) -> DataFrame:

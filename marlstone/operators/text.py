@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.strings import strip
+from marlstone.functions.strings import let, strip
 
 # --- fixed values: what starts a list of references, and lines of no content ---
 REFERENCE_HEADS = ("references", "bibliography", "kaynakça")
@@ -22,18 +22,19 @@ def before_references(parts: Column, heads: tuple[str, ...] = REFERENCE_HEADS) -
     """The lines strictly before the first that starts with one of heads, without case and outer space."""
     starts = F.transform(parts, lambda x: F.lower(strip(x)).rlike("^(" + "|".join(heads) + ")"))
     at = F.array_position(starts, True)
-    return F.when(at > 0, F.slice(parts, F.lit(1), (at - 1).cast("int"))).otherwise(parts)
+    return let(at, lambda n: F.when(n > 0, F.slice(parts, F.lit(1), (n - 1).cast("int"))).otherwise(parts))
 
 
 def content_lines(parts: Column) -> Column:
     """Stripped lines without blank, page-number and contents lines."""
     kept = F.filter(F.transform(parts, strip), lambda x: x != "")
-    return F.filter(kept, lambda x: ~x.rlike(PAGE_LINE) & ~x.rlike(CONTENTS_LINE))
+    # most lines are told by a cheap test: a contents line has dots in a row
+    return F.filter(kept, lambda x: ~(x.rlike(PAGE_LINE)) & ~(F.contains(x, F.lit("....")) & x.rlike(CONTENTS_LINE)))
 
 
 def clean(text: Column, heads: tuple[str, ...] = REFERENCE_HEADS) -> Column:
     """A document's content: cut at its references, then without blank, page-number and contents lines. Null stays null."""
-    return F.array_join(content_lines(before_references(lines(text), heads)), "\n")
+    return F.array_join(let(lines(text), lambda parts: content_lines(before_references(parts, heads))), "\n")
 
 
 def blank_documents(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:

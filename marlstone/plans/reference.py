@@ -10,7 +10,7 @@ from marlstone.operators import chunking, code, locate, metrics, retrieval, rule
 from marlstone.operators import text as cleaning
 from marlstone.plans.reference_sql import ORACLES
 from marlstone.session import cut
-from marlstone.tables import table
+from marlstone.tables import spread, table
 
 STOP = ("important:",)  # what stands for a head of references in the test documents
 
@@ -23,12 +23,12 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def d_clean_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("cleaned"))
+    return spread(table(spark, d, "documents")).select("doc_id", cleaning.clean(F.col("text")).alias("cleaned"))
 
 
 def d01_truncate(spark: SparkSession, d: str) -> DataFrame:
     parts = cleaning.before_references(cleaning.lines(F.col("text")), STOP)
-    return table(spark, d, "documents").select("doc_id", F.size(parts).alias("n_lines")).filter("n_lines >= 0")
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(parts).alias("n_lines")).filter("n_lines >= 0")
 
 
 def d06_rejected(spark: SparkSession, d: str) -> DataFrame:
@@ -43,12 +43,12 @@ def c01_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c03_sections(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("section_ord", "s"))
+    s = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(chunking.sections(F.col("text"))).alias("section_ord", "s"))
     return s.select("doc_id", "section_ord", F.col("s.number").alias("section_number"), F.col("s.name").alias("section_name"), F.length("s.content").alias("n_chars"))
 
 
 def c08_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(table(spark, d, "documents"))
+    return chunking.chunks(spread(table(spark, d, "documents")))
 
 
 def c05_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def c08_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c10_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = chunking.sentence_windows(table(spark, d, "documents"), "doc_id", "text")
+    w = chunking.sentence_windows(spread(table(spark, d, "documents")), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum(F.length("window")).alias("n_chars"), F.max(F.length("window")).alias("longest"))
 
 
@@ -111,7 +111,7 @@ def r05_query_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r06_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", retrieval.summary(F.col("text")).alias("summary")).distinct()
+    return spread(table(spark, d, "chunks")).select("chunk_id", retrieval.summary(F.col("text")).alias("summary")).distinct()
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -248,17 +248,17 @@ def x02_locate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m02_sentence_fallback(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(synthesis.sentences(F.col("text"))).alias("no", "sentence"))
+    s = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(synthesis.sentences(F.col("text"))).alias("no", "sentence"))
     return s
 
 
 def m01_scout(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.scout(table(spark, d, "documents").filter(~is_blank(F.col("text"))), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
+    return synthesis.scout(spread(table(spark, d, "documents")).filter(~is_blank(F.col("text"))), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n_sentences"))
 
 
 def m05_synthesise(spark: SparkSession, d: str) -> DataFrame:
     """All stages without a model: the deterministic fallbacks."""
-    docs = table(spark, d, "documents").filter(~is_blank(F.col("text")))
+    docs = spread(table(spark, d, "documents")).filter(~is_blank(F.col("text")))
     found = synthesis.scout(docs, "doc_id", "text")
     contexts = synthesis.identify_contexts(found, "doc_id")
     made = synthesis.synthesise(synthesis.analyse(contexts, found, "doc_id"), "doc_id")
