@@ -132,27 +132,50 @@ def forced_of(made: DataFrame, key: str = "chunk_id") -> DataFrame:
     return listed.select(key, F.greatest("inner", F.when(most > F.col("limit"), 1).otherwise(0)).cast("int").alias("forced"))
 
 
+def _numbered(b: pd.DataFrame) -> Iterator[tuple]:
+    """Rows of the pieces of the ranges of a batch, numbered from the range's first number on."""
+    for r in b.itertuples(index=False):
+        if r.slice is None or r.total <= r.max_chars:
+            yield r, 0, 0, 0 if r.slice is None else r.total, "whole", r.slice
+            continue
+        limit, overlap = _sane(r.max_chars, r.overlap_chars)
+        last = min((r.range_no + 1) * r.range_len, r.total) - r.off
+        begin = seam(r.slice, r.range_no * r.range_len - r.off, limit, overlap) - overlap if r.range_no else 0
+        end = seam(r.slice, last, limit, overlap) if last + r.off < r.total else last
+        for k, (a, z, kind) in enumerate(pieces_of(r.slice, begin, end, limit, overlap)):
+            yield r, k, a + r.off, z - a, kind, r.slice[a:z]
+
+
 def split_chunks(chunks: DataFrame, limits: DataFrame, range_chars: int = 1 << 16) -> DataFrame:
     """All chunks within their limits: section_name kept, chunk_index renumbered from 0 within doc_id.
 
     Of a chunk indexed again, the latest delivery counts. Chunks within their limit, and null and empty ones, are one
-    piece. Order within a document: the old chunk_index, then chunk_id, then the piece.
+    piece. Order within a document: the old chunk_index, then chunk_id, then the piece. First the pieces of each range
+    are counted and numbered, by ids alone; then the texts move once, to the latest delivery and its numbers.
     """
-    latest = chunks.groupBy("chunk_id").agg(F.max("loaded_at").alias("loaded_at"))
-    made = split(chunks, limits, range_chars=range_chars)
-    within = F.coalesce(F.length("text") <= limit_of(F.col("doc_type"), limits)["max_chars"], F.lit(True))
-    whole = chunks.filter(within).select("chunk_id", "loaded_at", F.lit(0).alias("range_no"), F.lit(0).alias("k"), F.lit(0).alias("start_pos"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.lit("whole").alias("cut_kind"), F.col("text").alias("piece"))
-    pieces = made.select("chunk_id", "loaded_at", "range_no", "k", "start_pos", "n_chars", "cut_kind", "piece").unionByName(whole)
-    head = chunks.select("chunk_id", "loaded_at", "doc_id", "doc_name", "doc_type", "section_name", "section_number", "chunk_index")
-    same = F.col("chunk_id").eqNullSafe(F.col("_id")) & F.col("loaded_at").eqNullSafe(F.col("_at"))
-    head = head.join(latest.withColumnsRenamed({"chunk_id": "_id", "loaded_at": "_at"}), same, "left_semi").dropDuplicates(["chunk_id"])
-    counted = made.select(F.col("chunk_id").alias("_id"), F.col("loaded_at").alias("_at"), "range_no", "k").distinct().groupBy("_id", "_at").agg(F.count("*").alias("n_pieces"))
-    numbered = head.join(counted, same, "left").drop("_id", "_at").withColumn("n_pieces", F.coalesce("n_pieces", F.lit(1)))
-    numbered = numbered.withColumn("_bucket", F.coalesce(F.floor(F.col("chunk_index") / 1024), F.lit(-1)))
-    numbered = bucketed_prefix_sum(numbered, ["doc_id"], ["_bucket"], [F.col("chunk_index"), F.col("chunk_id")], F.col("n_pieces"), "_upto")
-    numbered = numbered.withColumn("_first", F.col("_upto") - F.col("n_pieces"))
-    pieces = pieces.withColumnsRenamed({"chunk_id": "_id", "loaded_at": "_at"})
-    joined = numbered.join(pieces, F.col("chunk_id").eqNullSafe(F.col("_id")) & F.col("loaded_at").eqNullSafe(F.col("_at"))).dropDuplicates(["chunk_id", "range_no", "k"])
-    no = F.row_number().over(W.partitionBy("chunk_id").orderBy("range_no", "k")) - 1  # the pieces of one chunk
-    joined = joined.withColumn("piece_no", no)
-    return joined.select("chunk_id", "doc_id", "doc_name", "doc_type", "section_name", "section_number", (F.col("_first") + F.col("piece_no")).cast("int").alias("chunk_index"), "piece_no", "start_pos", "n_chars", "cut_kind", F.col("piece").alias("text"))
+    made = split(chunks, limits, range_chars=range_chars, with_text=False)
+    counted = made.groupBy(F.col("chunk_id").alias("_id"), F.col("loaded_at").alias("_at"), F.col("range_no").alias("_no")).agg((F.max("k") + 1).alias("_n"))
+    head = chunks.groupBy("chunk_id").agg(F.max_by(F.struct("loaded_at", "doc_id", "chunk_index"), F.struct("loaded_at", "doc_id", "chunk_index")).alias("h")).select("chunk_id", "h.*")
+    ranges = head.join(counted, F.col("chunk_id").eqNullSafe(F.col("_id")) & F.col("loaded_at").eqNullSafe(F.col("_at")), "left")
+    ranges = ranges.select("chunk_id", "doc_id", "chunk_index", F.coalesce("_no", F.lit(0)).alias("_no"), F.coalesce("_n", F.lit(1)).alias("_n"), F.coalesce(F.floor(F.col("chunk_index") / 1024), F.lit(-1)).alias("_bucket"))
+    ranges = bucketed_prefix_sum(ranges, ["doc_id"], ["_bucket"], [F.col("chunk_index"), F.col("chunk_id"), F.col("_no")], F.col("_n"), "_upto")
+    numbers = ranges.groupBy(F.col("chunk_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("_no", (F.col("_upto") - F.col("_n")).alias("_first")))).alias("_ranges"))  # of one chunk
+
+    meta = ["chunk_id", "doc_id", "doc_name", "doc_type", "section_name", "section_number"]
+    best = F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc_nulls_last("loaded_at"), F.desc("doc_id"), F.desc("chunk_index")))
+    latest = chunks.select(*meta, "chunk_index", "loaded_at", "text").withColumn("_best", best).filter("_best = 1").drop("_best", "chunk_index", "loaded_at")
+    rows = latest.join(numbers, F.col("chunk_id").eqNullSafe(F.col("_id"))).withColumn("_l", limit_of(F.col("doc_type"), limits)).select(*meta, "text", "_ranges", "_l.*", F.coalesce(F.length("text"), F.lit(0)).alias("total"))
+    rows = rows.withColumn("range_len", F.greatest(F.lit(range_chars), 4 * F.col("max_chars").cast("bigint"))).withColumn("_r", F.explode("_ranges"))
+    rows = rows.select(*meta, "text", "max_chars", "overlap_chars", "total", "range_len", F.col("_r._no").alias("range_no"), F.col("_r._first").alias("first"), (F.col("_r._first") - F.col("_ranges")[0]["_first"]).alias("before"))
+    off = F.greatest(F.lit(0), F.col("range_no") * F.col("range_len") - 2 * F.col("max_chars").cast("bigint") - 2).cast("int")
+    rows = rows.withColumn("off", F.when(F.col("total") > F.col("max_chars"), off).otherwise(0))
+    part = F.when(F.col("total") > F.col("max_chars"), F.expr("substring(text, off + 1, cast(least((range_no + 1) * range_len, total) as int) - off + 1)")).otherwise(F.col("text"))
+    rows = rows.withColumn("slice", part).drop("text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(*(getattr(r, c) for c in meta), r.first + k, r.before + k, a, n, kind, piece) for r, k, a, n, kind, piece in _numbered(b)]
+            yield pd.DataFrame(out, columns=[*meta, "chunk_index", "piece_no", "start_pos", "n_chars", "cut_kind", "text"])
+
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in meta)
+    return rows.mapInPandas(run, f"{kinds}, chunk_index int, piece_no int, start_pos int, n_chars int, cut_kind string, text string")
