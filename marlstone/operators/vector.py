@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,16 +47,20 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", block: int = 4096, most_queries: int = 1 << 20, keep_self: bool = True) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", block: int = 1024, most_sent: int = 1 << 16, keep_self: bool = True) -> DataFrame:
     """The exact k nearest items of each query by cosine: query_id, item_id, score, rank from 1; ties by item_id.
 
-    Queries, whose number is checked, go to the executors in blocks; each batch of the corpus is multiplied with a
+    Queries go to the executors most_sent at a time, each such part in a pass of its own over the corpus; each batch of the corpus is multiplied with a
     block and keeps its k best for each query, so the rows that move are k for each query and batch, not pairs. Vectors of
     length zero have score 0; null vectors take no part. The ids are bigints.
     """
-    rows = queries.select(query_id, vector).filter(F.col(vector).isNotNull()).limit(most_queries + 1).toPandas()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in parts")
+    asked = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
+    rows = asked.limit(most_sent + 1).toPandas()
+    if len(rows) > most_sent:
+        parts = -(-asked.count() // (most_sent // 2 or 1))  # half full, as the hash does not cut evenly
+        part = F.pmod(F.xxhash64(query_id), F.lit(parts))
+        found = [knn(asked.filter(part == i), corpus, k, query_id, item_id, vector, block, max(most_sent, 2), keep_self) for i in range(parts)]
+        return reduce(DataFrame.unionByName, found)
     schema = f"{query_id} long, {item_id} long, score double"
     items = corpus.select(F.col(item_id).cast("bigint").alias(item_id), vector).filter(F.col(vector).isNotNull())
     if rows.empty:
