@@ -177,7 +177,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
     double = only.mapInPandas(second_level, "_id long, h long, side byte, hh long, at int").join(again, "h", "left_semi").select("_id", "side", "hh", "at")
     double = cut(double, "level2")
-    left = cut(double.join(repeated(double, "side", "hh"), ["side", "hh"], "left_semi").groupBy("_id").agg(F.collect_list(F.struct("side", "at")).alias("anchors"), F.count("*").alias("n")), "anchors")  # one text's
+    left = cut(double.join(repeated(double, "side", "hh"), ["side", "hh"], "left_semi").groupBy("_id").agg(F.collect_list(F.col("at").cast("bigint") * 2 + F.col("side")).alias("anchors"), F.count("*").alias("n")), "anchors")  # one text's
     k = span // 4
     sent = left.agg(F.sum("n")).first()[0] or 0
 
@@ -188,10 +188,10 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
                 codes = _codes(text_)
                 n = len(codes) - span + 1
                 edges = np.zeros(n + 1, np.int32)
-                for s in anchors:  # the full windows that hold the doubled one
-                    a = s["at"] - k if s["side"] else s["at"]
-                    edges[max(0, min(n, a - (span - 2 * k)))] += 1
-                    edges[max(0, min(n, a + 1))] -= 1
+                of = np.asarray(anchors, np.int64)
+                of = (of >> 1) - (of & 1) * k  # where the doubled window starts; the full ones that hold it follow
+                np.add.at(edges, np.clip(of - (span - 2 * k), 0, n), 1)
+                np.add.at(edges, np.clip(of + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 one, two = (window_hashes(codes, (span,), seed)[span][at].view(np.int64) for seed in (1, 7))
                 held.append((np.full(len(at), key_, np.int64), one, two, at.astype(np.int32)))
