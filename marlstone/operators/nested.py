@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.session import cut
+
 #: The levels of a domain model: field -> fields of its members. A leaf list holds plain strings.
 LEAVES = ("synonyms_to_avoid", "attributes")
 ITEMS = ("entities", "value_objects")
@@ -293,10 +295,12 @@ def all_models(models: DataFrame, payloads: DataFrame) -> DataFrame:
     give no row; a null list of contexts stays null.
     """
     typed = models.select("model_id", "bounded_contexts").distinct()
-    text = canonical_json(payloads.select("model_id", "payload").distinct(), "model_id", "payload", "canonical").filter("canonical IS NOT NULL")
+    # written once: the texts are parsed in Python, and the tables below read only the nested columns they need
+    text = cut(canonical_json(payloads.select("model_id", "payload").distinct(), "model_id", "payload", "canonical").filter("canonical IS NOT NULL"), "payloads")
     have = models.schema["bounded_contexts"].dataType
     merged = without_void(merge_types(have, infer_json_schema(text, "canonical")))
-    return typed.select("model_id", as_type(F.col("bounded_contexts"), have, merged).alias("bounded_contexts")).unionByName(text.select("model_id", F.from_json("canonical", merged).alias("bounded_contexts")))
+    both = typed.select("model_id", as_type(F.col("bounded_contexts"), have, merged).alias("bounded_contexts")).unionByName(text.select("model_id", F.from_json("canonical", merged).alias("bounded_contexts")))
+    return cut(both, "models")
 
 
 def model_tables(models: DataFrame, payloads: DataFrame) -> dict[str, DataFrame]:
