@@ -87,19 +87,25 @@ def dangling(contexts: DataFrame, shared: DataFrame) -> DataFrame:
     return one.filter("_live = 0").select("table_name", "context_id", "dep_no", "dep", "dep_key", "model_id", "registered_at", reason.alias("reason"), F.date_format("registered_at", "yyyy-MM").alias("period"))
 
 
-def cascade(edges: DataFrame, orphans: DataFrame, rounds: int = 64) -> DataFrame:
+def cascade(edges: DataFrame, orphans: DataFrame, rounds: int = 64, bearers: DataFrame | None = None) -> DataFrame:
     """(child, depth, direct): every record that is orphaned, depth 0 and direct if one of its own references is,
     else inherited from a parent that is orphaned, the smallest depth counting.
 
     edges(child, parent); orphans(child). Each round is a semi-join of the edges with the records found last and an
     anti-join against all found, written to the shared folder, until a round finds nothing; cycles therefore end.
+    With bearers(parent, name) the parents of edges are names: a round goes from the records found last to the names
+    they bear and on to the children, so that many bearers and many children of one name are never paired.
     A graph deeper than rounds raises an error.
     """
     links = cut(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
+    borne = None if bearers is None else cut(bearers.select("parent", "name").filter("parent IS NOT NULL AND name IS NOT NULL").distinct(), "bearers")
     found = cut(orphans.select("child").filter("child IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "orphans")
     last = found
     for depth in range(1, rounds + 1):
-        fresh = links.join(last.select(F.col("child").alias("parent")), "parent", "left_semi").select("child").distinct().join(found, "child", "left_anti").withColumn("depth", F.lit(depth))
+        parents = last.select(F.col("child").alias("parent"))
+        if borne is not None:
+            parents = borne.join(parents, "parent", "left_semi").select(F.col("name").alias("parent")).distinct()
+        fresh = links.join(parents, "parent", "left_semi").select("child").distinct().join(found, "child", "left_anti").withColumn("depth", F.lit(depth))
         fresh = cut(fresh, "round")
         if fresh.isEmpty():
             return found.withColumn("direct", F.col("depth") == 0)
@@ -107,20 +113,24 @@ def cascade(edges: DataFrame, orphans: DataFrame, rounds: int = 64) -> DataFrame
     raise ValueError(f"the graph is deeper than {rounds} levels")
 
 
-def live_edges(contexts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(child, parent): context ids; a parent bears a name that the child refers to, in the child's model or shared."""
+def node(table: Column) -> Column:
+    """A record of the graph: ids are unique within their table only."""
+    return F.struct(table.alias("table_name"), F.col("context_id").cast("bigint").alias("context_id"))
+
+
+def live_edges(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(child, parent) and (parent, name) for cascade: records refer to names, within their model or shared, and each
+    name is borne by any number of records. Names are nodes between records and no records themselves.
+    """
     own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "loaded_at"), "context_id", "loaded_at")
     common = shared.select("context_id", "context_name", "allowed_dependencies").distinct()
-    name = lambda df, scope: df.select(F.col("context_id").alias("parent"), scope.alias("_scope"), letters_digits(F.col("context_name")).alias("_name")).filter("length(_name) > 0")
-    parents = name(own.filter("model_id IS NOT NULL"), F.col("model_id").cast("string")).unionByName(name(common, F.lit("*")))
-    # one edge to the smallest parent of a name: contexts of equal name in one model are one node of the graph
-    nodes = parents.groupBy("_scope", "_name").agg(F.min("parent").alias("parent"))
-    child = members(own, "bounded_contexts", "context_id", ["model_id"], "allowed_dependencies").select(F.col("context_id").alias("child"), "model_id", letters_digits(F.col("dep")).alias("_name"))
-    asked = child.withColumn("_scope", F.explode(F.array(F.col("model_id").cast("string"), F.lit("*"))))
-    named = asked.join(nodes, ["_scope", "_name"]).select("child", "parent")
-    # every other context of that name passes its state on to the node
-    same = parents.join(nodes.withColumnRenamed("parent", "node"), ["_scope", "_name"]).filter("parent <> node").select(F.col("node").alias("child"), "parent")
-    return named.unionByName(same)
+    key = lambda scope, name: F.struct(scope.alias("scope"), letters_digits(F.col(name)).alias("name"))
+    bears = lambda df, table, scope: df.select(node(F.lit(table)).alias("parent"), key(scope, "context_name").alias("name")).filter("length(name.name) > 0")
+    borne = bears(own.filter("model_id IS NOT NULL"), "bounded_contexts", F.col("model_id").cast("string")).unionByName(bears(common, "shared_contexts", F.lit("*")))
+    refs = members(own, "bounded_contexts", "context_id", ["model_id"], "allowed_dependencies")
+    scopes = F.filter(F.array(F.col("model_id").cast("string"), F.lit("*")), lambda s: s.isNotNull())
+    edges = refs.withColumn("_scope", F.explode(scopes)).select(node(F.col("table_name")).alias("child"), key(F.col("_scope"), "dep").alias("parent"))
+    return edges, borne
 
 
 def report(found: DataFrame) -> DataFrame:

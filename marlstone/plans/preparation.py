@@ -46,12 +46,16 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return references.report(_orphans(spark, d))
 
 
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    contexts, shared = table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts")
+    direct = _orphans(spark, d).select(references.node(F.col("table_name")).alias("child"))
+    edges, bearers = references.live_edges(contexts, shared)
+    return references.cascade(edges, direct, bearers=bearers).select("child.table_name", "child.context_id", "depth", "direct")
+
+
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans of the registry with their depth in the cascade."""
-    contexts, shared = table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts")
-    direct = _orphans(spark, d).select(F.col("context_id").alias("child")).distinct()
-    found = references.cascade(references.live_edges(contexts, shared), direct)
-    return found.select(F.col("child").alias("context_id"), "depth", "direct")
+    return _states(spark, d)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_leaves, p4_found, p4_report, p4_cascade)}

@@ -68,6 +68,32 @@ def test_cascade(spark, rows):
         references.cascade(chain, spark.createDataFrame([(0,)], "child bigint"), rounds=3)
 
 
+def registry(spark):
+    """Shared: A (1) refers to nothing that exists, B (2) to A, C (3) to B. Bounded: id 1 is sound, 2 refers to C, 3 to
+    id 1's name, 4 and 5 bear one name and 5 alone is an orphan, 6 refers to that name."""
+    late = T0 + timedelta(days=1)
+    shared = [(1, "A", ["nowhere"], T0, None), (2, "B", ["A"], late, None), (3, "C", ["B"], late, None)]
+    deps = {1: ("One", []), 2: ("Two", ["C"]), 3: ("Three", ["One"]), 4: ("Twin", []), 5: ("Twin", ["gone"]), 6: ("Six", ["twin"])}
+    own = [(i, 7, "p", name, None, d, late + timedelta(days=40 * (i == 6)), None, T0, "x", 1) for i, (name, d) in deps.items()]
+    return spark.createDataFrame(own, CONTEXTS), spark.createDataFrame(shared, SHARED)
+
+
+def states(contexts, shared):
+    from pyspark.sql import functions as F
+
+    direct = references.dangling(contexts, shared).select(references.node(F.col("table_name")).alias("child"))
+    edges, bearers = references.live_edges(contexts, shared)
+    return references.cascade(edges, direct, bearers=bearers).select("child.table_name", "child.context_id", "depth", "direct")
+
+
+def test_cascade_keeps_tables_and_names_apart(spark):
+    got = {(r[0], r[1]): (r[2], r[3]) for r in states(*registry(spark)).collect()}
+    assert got["shared_contexts", 1] == (0, True)
+    # bounded 1 and 3 are sound though shared 1 is an orphan; 4 refers to nothing though its namesake 5 is an orphan
+    assert not {("bounded_contexts", 1), ("bounded_contexts", 3), ("bounded_contexts", 4)} & set(got)
+    assert got["bounded_contexts", 5] == (0, True) and got["bounded_contexts", 6] == (1, False)
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
