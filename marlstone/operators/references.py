@@ -119,15 +119,18 @@ def node(table: Column) -> Column:
 
 
 def live_edges(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(child, parent) and (parent, name) for cascade: records refer to names, within their model or shared, and each
-    name is borne by any number of records. Names are nodes between records and no records themselves.
+    """(child, parent) and (parent, name) for cascade: records refer to names, within their model or shared (shared
+    ones to shared names only), and each name is borne by any number of records. Names are nodes between records and
+    no records themselves.
     """
     own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "loaded_at"), "context_id", "loaded_at")
     common = shared.select("context_id", "context_name", "allowed_dependencies").distinct()
     key = lambda scope, name: F.struct(scope.alias("scope"), letters_digits(F.col(name)).alias("name"))
     bears = lambda df, table, scope: df.select(node(F.lit(table)).alias("parent"), key(scope, "context_name").alias("name")).filter("length(name.name) > 0")
     borne = bears(own.filter("model_id IS NOT NULL"), "bounded_contexts", F.col("model_id").cast("string")).unionByName(bears(common, "shared_contexts", F.lit("*")))
-    refs = members(own, "bounded_contexts", "context_id", ["model_id"], "allowed_dependencies")
+    refs = members(own, "bounded_contexts", "context_id", ["model_id"], "allowed_dependencies").unionByName(
+        members(common.withColumn("model_id", F.lit(None).cast("bigint")), "shared_contexts", "context_id", ["model_id"], "allowed_dependencies")
+    )
     scopes = F.filter(F.array(F.col("model_id").cast("string"), F.lit("*")), lambda s: s.isNotNull())
     edges = refs.withColumn("_scope", F.explode(scopes)).select(node(F.col("table_name")).alias("child"), key(F.col("_scope"), "dep").alias("parent"))
     return edges, borne

@@ -94,6 +94,12 @@ def test_cascade_keeps_tables_and_names_apart(spark):
     assert got["bounded_contexts", 5] == (0, True) and got["bounded_contexts", 6] == (1, False)
 
 
+def test_cascade_runs_through_shared_contexts(spark):
+    got = {(r[0], r[1]): (r[2], r[3]) for r in states(*registry(spark)).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "shared_contexts"} == {1: (0, True), 2: (1, False), 3: (2, False)}
+    assert got["bounded_contexts", 2] == (3, False)
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
