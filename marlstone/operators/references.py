@@ -139,3 +139,16 @@ def live_edges(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataF
 def report(found: DataFrame) -> DataFrame:
     """Counts of orphans per table, month and reason."""
     return found.groupBy("table_name", "period", "reason").agg(F.count("*").alias("n_refs"), F.count_distinct("context_id").alias("n_contexts"))
+
+
+def levels(states: DataFrame, contexts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Counts of direct and inherited orphans per table and month of registration, of states(table_name, context_id, direct).
+
+    The month is that of a context's latest delivery; a shared context with several times counts in each of its months.
+    A null time is a period of its own; months without orphans give no rows.
+    """
+    own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "registered_at", "removed_at", "loaded_at"), "context_id", "loaded_at")
+    month = lambda df, name: df.select(F.lit(name).alias("_table"), F.col("context_id").alias("_id"), F.date_format("registered_at", "yyyy-MM").alias("period"))
+    months = month(own, "bounded_contexts").unionByName(month(shared, "shared_contexts").distinct())
+    both = states.join(months, (F.col("table_name") == F.col("_table")) & F.col("context_id").eqNullSafe(F.col("_id")))
+    return both.groupBy("table_name", "period").agg(F.count_if("direct").alias("n_direct"), F.count_if(~F.col("direct")).alias("n_inherited"))

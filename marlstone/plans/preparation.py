@@ -58,7 +58,12 @@ def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     return _states(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_leaves, p4_found, p4_report, p4_cascade)}
+def p4_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table and month; p4_report has the reasons of the direct references."""
+    return references.levels(_states(spark, d), table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_leaves, p4_found, p4_report, p4_cascade, p4_levels)}
 
 _P4 = r"""
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY loaded_at DESC NULLS LAST) rn FROM bounded_contexts) WHERE rn = 1),

@@ -100,6 +100,18 @@ def test_cascade_runs_through_shared_contexts(spark):
     assert got["bounded_contexts", 2] == (3, False)
 
 
+def test_levels(spark, rows):
+    contexts, shared = registry(spark)
+    got = rows(references.levels(states(contexts, shared), contexts, shared))
+    assert got == [("bounded_contexts", "2025-01", 1, 1), ("bounded_contexts", "2025-02", 0, 1), ("shared_contexts", "2025-01", 1, 2)]
+
+
+def test_levels_is_registered():
+    from marlstone.plans import preparation
+
+    assert "p4_levels" in preparation.QUERIES
+
+
 def test_prefix_sums(spark):
     from pyspark.sql import functions as F
 
