@@ -306,7 +306,8 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find_credentials(df: DataFrame, key: str = "submission_id", owner: str = "project_name", text: str = "content", least_owners: int = 20, owner_share: float = 0.1, most_bits: int = 1 << 26) -> DataFrame:
     """(key, start_pos, n_chars): every credential written out in text, in code points from 0, each once.
 
-    A value that at least least_owners owners and owner_share of all owners have is taken for a placeholder.
+    A value that at least least_owners owners and owner_share of all owners have is taken for a placeholder, unless
+    its build proves it in some file.
     Null and empty texts give no rows; files that do not parse are scanned like any other; a null key or owner is
     a key or owner like any other; repeated rows count once, and an empty table gives no rows.
     """
@@ -317,7 +318,9 @@ def find_credentials(df: DataFrame, key: str = "submission_id", owner: str = "pr
     # the index of literals: owners by value; distinct pairs are combined before they move
     owners = files.select("_owner").distinct().count()
     most = max(least_owners, math.ceil(owner_share * owners))
-    shared = hits.filter("value IS NOT NULL").select("value", "_owner").distinct().groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("value")
+    # a value that is proven by its build in any file is never a placeholder
+    by_owner = hits.filter("value IS NOT NULL").groupBy("value", "_owner").agg(F.bool_or(F.col("kind") == "build").alias("proven"))
+    shared = by_owner.groupBy("value").agg(F.count("*").alias("n"), F.bool_or("proven").alias("proven")).filter((F.col("n") >= most) & ~F.col("proven")).select("value")
     rare = cut(hits.join(shared, "value", "left_anti"), "rare")
     values = rare.filter("kind <> 'piece' AND value IS NOT NULL AND length(value) >= 8").select("value").distinct().mapInPandas(_with_anchor, "anchor long, value string")
     values = cut(values, "values")

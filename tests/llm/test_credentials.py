@@ -61,6 +61,14 @@ def test_corpus(spark, rows):
     assert texts[1] == 'password = "' + "*" * len(secret) + '"' and texts[3] is None and texts[100] == files[6][2] and secret + "y" in texts[2]
 
 
+def test_build_proves_what_many_share(spark, rows):
+    shared = "Default-Lantern-77q"
+    files = [(i, f"q{i}", f"k = '{GH}'\npassword = '{shared}'\nh = 'Basic {BASIC}'") for i in range(30)] + [(99, "q99", f"AUTH_TOKEN = '{BASIC}'")]
+    got = {(r[0], r[1], r[2]) for r in rows(c.find_credentials(table(spark, files)))}
+    t = files[0][2]
+    assert got == {(i, t.index(v), len(v)) for i in range(30) for v in (GH, BASIC)} | {(99, 14, len(BASIC))}
+
+
 def test_blank_keeps_lines():
     assert c.blank(f"a{PEM}b", [(1, len(PEM))]).count("\n") == PEM.count("\n") and len(c.blank(f"a{PEM}b", [(1, len(PEM))])) == len(PEM) + 2
 
