@@ -238,10 +238,19 @@ def x01_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x02_locate(spark: SparkSession, d: str) -> DataFrame:
-    """Where each file's first class stands."""
-    first = code.rows_of(_parsed(spark, d), "classes", ["submission_id"]).filter("no = 0").select("submission_id", "name", "line")
-    both = _files(spark, d).select("submission_id", "content").join(first, "submission_id")
-    return both.select("submission_id", "name", "line", locate.locate(F.col("content"), F.col("name")).alias("at")).select("submission_id", "name", "line", F.col("at.line").alias("found_line"), F.col("at.col").alias("found_col"))
+    """Where the term of each violation, class, function and assignment stands; kind is the violation's type or one of
+    these. A term is looked for once a file."""
+    parsed = _parsed(spark, d)
+    row = lambda df, kind, term: df.select("submission_id", kind.alias("kind"), term.alias("name"), "line")
+    terms = row(rules.violations(parsed, _models(spark, d)), F.col("type"), locate.keyword(F.col("message")))
+    for part, kind, name in (("classes", "class", "name"), ("functions", "function", "name"), ("assignments", "assignment", "target")):
+        terms = terms.unionByName(row(code.rows_of(parsed, part, ["submission_id"]), F.lit(kind), F.col(name)))
+    terms = cut(terms, "terms")
+    asked = terms.select(F.col("submission_id").alias("_id"), F.col("name").alias("_term")).distinct()
+    files = _files(spark, d).select("submission_id", "content")
+    at = asked.join(files, F.col("_id").eqNullSafe(F.col("submission_id"))).select("_id", "_term", locate.locate(F.col("content"), F.col("_term")).alias("at"))
+    both = terms.join(at, F.col("submission_id").eqNullSafe(F.col("_id")) & F.col("name").eqNullSafe(F.col("_term")))
+    return both.select("submission_id", "kind", "name", "line", F.col("at.line").alias("found_line"), F.col("at.col").alias("found_col"))
 
 
 # --- models ------------------------------------------------------------------------------------------------------

@@ -94,3 +94,19 @@ def test_diagnostics(spark, rows):
     s = spark.createDataFrame([("u", 1, 0, "a"), ("u", 1, 1, "b"), ("u2", 1, 0, "c")], "uri string, line int, n int, sources string")
     assert rows(locate.last_by_line(s, "n")) == [("u", 1, "b"), ("u2", 1, "c")] and locate.without_prefix(s, "u").count() == 0
     assert spark.range(1).select(locate.first_line_of(F.lit("a\nb\nc"), F.lit("c")).alias("n")).first()["n"] == 2
+
+
+def test_locate_covers_violations_and_all_names(spark, tmp_path, monkeypatch):
+    from marlstone.plans import reference
+
+    text = "class A:\n    pass\nclass B:\n    def go(self):\n        total = 1\n"
+    files = spark.createDataFrame([(1, "p", "a.py", text), (2, "p", "b.py", "limit = 2\n")], "submission_id bigint, project_name string, filename string, content string")
+    found = spark.createDataFrame([(2, "BannedTermViolation", "variable 'limit' contains the banned term 'limit'", 1), (2, "ConfigError", "No domain model", 0)], "submission_id bigint, type string, message string, line int")
+    monkeypatch.setattr(reference, "_files", lambda *_: files)
+    monkeypatch.setattr(reference, "_models", lambda *_: None)
+    monkeypatch.setattr(reference.rules, "violations", lambda *_: found)
+    got = {(r["submission_id"], r["kind"], r["name"], r["found_line"], r["found_col"]) for r in reference.x02_locate(spark, "").collect()}
+    assert got == {
+        (1, "class", "A", 0, 6), (1, "class", "B", 2, 6), (1, "function", "go", 3, 8), (1, "assignment", "total", 4, 8),
+        (2, "assignment", "limit", 0, 0), (2, "BannedTermViolation", "limit", 0, 0), (2, "ConfigError", "", 0, 0),
+    }
