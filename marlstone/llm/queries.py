@@ -21,20 +21,26 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(files, credentials.find_credentials(files))
 
 
-def _entities(spark: SparkSession, d: str, by: str) -> DataFrame:
-    return survivors.survivors(table(spark, d, "specialist_entities"), table(spark, d, "source_trust"), by)
+def _survivors(spark: SparkSession, d: str, **how) -> DataFrame:
+    return survivors.survivors(table(spark, d, "specialist_entities"), table(spark, d, "source_trust"), **how)
+
+
+def _listed(best: DataFrame) -> DataFrame:
+    return best.withColumn("attributes", F.to_json("attributes"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.suppliers(_entities(spark, d, "rank"))
+    return survivors.suppliers(_survivors(spark, d))
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return _entities(spark, d, "rank")
+    """The surviving records with the votes that their values have."""
+    return _listed(_survivors(spark, d))
 
 
 def p3_voted(spark: SparkSession, d: str) -> DataFrame:
-    return _entities(spark, d, "votes")
+    """Survivors where each spelling stands for election by itself."""
+    return _listed(_survivors(spark, d, spelled=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -93,16 +99,41 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_shares)}
 
 _P3 = r"""
-r AS (SELECT DISTINCT e.record_id, e.model_id, e.name, e.context, e.attributes, coalesce(t.trust_rank, 999) tr, coalesce(e.extracted_at, TIMESTAMP '0001-01-01') ts,
+top AS (SELECT coalesce(max(trust_rank), 0) + 1 worst FROM source_trust),
+rows_ AS (SELECT DISTINCT record_id, model_id, name, context, attributes, source, extracted_at FROM specialist_entities),
+r AS (SELECT e.*, coalesce(t.trust_rank, worst) tr, coalesce(e.extracted_at, TIMESTAMP '0001-01-01') ts,
+        CAST((worst + 1 - coalesce(t.trust_rank, worst)) * coalesce(greatest(0.001::DOUBLE, pow(0.5::DOUBLE, (epoch((SELECT max(extracted_at) FROM specialist_entities)) - epoch(e.extracted_at)) / 86400 / 180)), 0.001::DOUBLE) AS DECIMAL(20,6)) vote,
         regexp_replace(lower(e.context), '[^\p{L}\p{N}]', '', 'g') ck, regexp_replace(lower(e.name), '[^\p{L}\p{N}]', '', 'g') nk,
-        len(list_distinct(list_filter(list_transform(coalesce(e.attributes, []), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '' AND x NOT IN ('na', 'none', 'null', 'nil', 'tbd', 'tba', 'unknown', 'undefined', 'notavailable', 'notapplicable', 'novalue')))) na
-      FROM specialist_entities e LEFT JOIN source_trust t ON t.source = e.source),
-g AS (SELECT *, min(record_id) OVER w group_id, max(record_id) OVER w hi,
-        row_number() OVER (w ORDER BY tr, ts DESC, record_id) r1, row_number() OVER (w ORDER BY ts DESC, tr, record_id) r2, row_number() OVER (w ORDER BY na DESC, tr, ts DESC, record_id) r3
+        list_sort(list_distinct(list_filter(list_transform(coalesce(e.attributes, []), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '' AND x NOT IN ('na', 'none', 'null', 'nil', 'tbd', 'tba', 'unknown', 'undefined', 'notavailable', 'notapplicable', 'novalue')))) ak
+      FROM rows_ e CROSS JOIN top LEFT JOIN source_trust t ON t.source = e.source),
+g AS (SELECT *, len(ak) na, min(record_id) OVER w group_id, max(record_id) OVER w hi, count(*) OVER w n_records,
+        row_number() OVER (w ORDER BY tr, ts DESC, record_id) r1, row_number() OVER (w ORDER BY ts DESC, tr, record_id) r2, row_number() OVER (w ORDER BY len(ak) DESC, tr, ts DESC, record_id) r3
       FROM r WHERE ck <> '' AND nk <> '' AND model_id IS NOT NULL WINDOW w AS (PARTITION BY model_id, ck, nk))
 """
 
+
+def _elected(name: str, context: str, attributes: str) -> str:
+    """SQL of the survivors where the values of a field are told apart by these expressions."""
+    part = lambda field, ballot, lead, order, value: f"""SELECT group_id, hi, n_records, model_id, '{field}' field, record_id, {value} v, {lead} lead, sum(vote) OVER (PARTITION BY group_id, {lead}, {ballot}) votes, row_number() OVER (PARTITION BY group_id ORDER BY {order}) rk FROM g"""
+    all_ = " UNION ALL ".join(
+        (
+            part("name", name, "0", "tr, ts DESC, record_id", "name"),
+            part("context", context, "0", "ts DESC, tr, record_id", "context"),
+            part("attributes", attributes, "na", "tr, ts DESC, record_id", "CAST(attributes AS VARCHAR)"),
+        )
+    )
+    first = lambda f, c: f"max(CASE WHEN field = '{f}' THEN {c} END)"
+    return f"""WITH {_P3}, e AS ({all_}),
+w AS (SELECT *, row_number() OVER (PARTITION BY group_id, field ORDER BY lead DESC, votes DESC, rk) best FROM e WHERE hi <> group_id AND (field <> 'attributes' OR lead > 0))
+SELECT group_id, any_value(model_id) model_id, any_value(n_records) n_records, {first('name', 'v')} name, {first('name', 'record_id')} name_record, {first('name', 'votes')} name_votes,
+  {first('context', 'v')} context, {first('context', 'record_id')} context_record, {first('context', 'votes')} context_votes,
+  (SELECT any_value(to_json(attributes)) FROM rows_ x WHERE x.record_id = {first('attributes', 'w.record_id')}) attributes, {first('attributes', 'record_id')} attributes_record, {first('attributes', 'votes')} attributes_votes
+FROM w WHERE best = 1 GROUP BY group_id"""
+
+
 ORACLES = {
+    "p3_survivors": _elected("1", "1", "1"),
+    "p3_voted": _elected("trim(name)", "trim(context)", "ak"),
     "p3_found": f"""WITH {_P3} SELECT group_id, 'name' field, record_id FROM g WHERE r1 = 1 AND group_id <> hi
 UNION ALL SELECT group_id, 'context', record_id FROM g WHERE r2 = 1 AND group_id <> hi
 UNION ALL SELECT group_id, 'attributes', record_id FROM g WHERE r3 = 1 AND na > 0 AND group_id <> hi""",

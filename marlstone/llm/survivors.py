@@ -16,6 +16,8 @@ NO_VALUE = ("na", "none", "null", "nil", "tbd", "tba", "unknown", "undefined", "
 # --- end of fixed values ---
 
 OLDEST = -(2**62)
+LEAST_DECAY = 0.001
+FIELDS = ("name", "context", "attributes")
 
 
 def _attributes(c: Column) -> Column:
@@ -24,68 +26,72 @@ def _attributes(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(keys, lambda x: x.isNotNull() & (F.length(x) > 0) & ~x.isin(*NO_VALUE))))
 
 
-def survivors(df: DataFrame, trust: DataFrame, by: str = "rank", half_life_days: float = 180.0) -> DataFrame:
+def survivors(df: DataFrame, trust: DataFrame, half_life_days: float = 180.0, spelled: bool = False) -> DataFrame:
     """One row for each group of two or more record_ids with equal model_id, context key and name key.
 
-    Columns: group_id (the smallest record_id), model_id, n_records, and for each of name, context and attributes the
-    winning value and the record_id that supplies it (null for attributes if no record has any).
+    Columns: group_id (the smallest record_id), model_id, n_records (its different rows), and for each of name, context and attributes the
+    winning value, the record_id that supplies it (null for attributes if no record has any) and the winner's votes.
 
-    by="rank": the best record decides: for name trust, time, record_id; for context time, trust, record_id; for
-    attributes the number of different ones, trust, time, record_id. by="votes": the normalised value with the
-    largest sum of trust times recency decay decides, and its best record by the same ranks supplies the spelling;
-    votes are decimals, so that their sums do not depend on the order of rows.
+    A record's vote is its source's trust times its recency decay; the votes of a normalised value of a field are
+    summed up. The value that max_by chooses is, in this order, the most complete one, the one with the largest sum,
+    and of its records the best one supplies the spelling: for name by trust, time and record_id; for context by time,
+    trust and record_id; for attributes by trust, time and record_id. Normalised, the names and contexts of a group
+    are one value, and lists of attributes are told by how many different ones they hold (completeness is theirs
+    alone). With spelled, the spellings of name and context and the sets of attributes stand for election separately.
+    Votes are decimals, so that their sums do not depend on the order of rows.
 
-    Trust: rank 1 is best, sources not listed and null come after all; null times are oldest (and in votes have
-    decayed to nothing but their trust's thousandth). Null names, contexts and models, and ones without a letter or
-    digit, form no group. Repeated rows count once. Nothing is collected: a group of any size is combined before
-    it moves, and extra columns are not read.
+    Trust: rank 1 is best, sources not listed and null come after all; null times are oldest and have decayed to the
+    least vote, a thousandth of their trust, as have times long past. Null names, contexts and models, and ones
+    without a letter or digit, form no group. Repeated rows count once. Nothing is collected: a group of any size is
+    combined before it moves, and extra columns are not read.
     """
-    last = F.coalesce(F.max("trust_rank"), F.lit(0)) + 1
+    one = trust.agg(F.coalesce(F.max("trust_rank"), F.lit(0)) + 1).first()[0]  # one number
+    newest = df.agg(F.max("extracted_at").cast("timestamp").alias("t")).first()["t"]  # one time
     ranks = trust.filter("source IS NOT NULL").groupBy(F.col("source").alias("_source")).agg(F.min("trust_rank").alias("_rank"))
-    worst = int(trust.select(last.alias("w")).first()["w"])  # one number
-    rows = df.select("record_id", "model_id", "context", "name", "attributes", "source", "extracted_at").withColumn("_c", letters_digits(F.col("context"))).withColumn("_n", letters_digits(F.col("name")))
+    rows = df.select("record_id", "model_id", "context", "name", "attributes", "source", "extracted_at").distinct()
+    rows = rows.withColumn("_c", letters_digits(F.col("context"))).withColumn("_n", letters_digits(F.col("name")))
     rows = rows.filter("model_id IS NOT NULL AND record_id IS NOT NULL AND length(_c) > 0 AND length(_n) > 0")
-    rows = rows.join(ranks, F.col("source") == F.col("_source"), "left").withColumn("_trust", -F.coalesce("_rank", F.lit(worst)).cast("bigint"))
-    if by == "votes":
-        rows = rows.distinct()
-    rows = rows.withColumn("_time", F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(OLDEST))).withColumn("_a", _attributes(F.col("attributes"))).withColumn("_id", -F.col("record_id"))
-    newest = df.select(F.max("extracted_at").cast("timestamp").alias("t")).first()["t"] if by == "votes" else None
-    if newest is None:
-        vote = F.lit(0).cast("decimal(20,9)")
-    else:
-        days = (F.lit(newest).cast("timestamp").cast("double") - F.col("extracted_at").cast("timestamp").cast("double")) / 86400
-        decay = F.when(F.col("extracted_at").isNull(), 0.001).otherwise(F.greatest(F.lit(0.001), F.pow(F.lit(0.5), days / half_life_days)))
-        vote = ((F.lit(worst + 1) + F.col("_trust")) * decay).cast("decimal(20,9)")
-    zero = F.lit(0).cast("bigint")
-    field = lambda name, value, key, *rank: F.struct(F.lit(name).alias("field"), value.alias("value"), key.alias("key"), F.struct(*[r.alias(x) for x, r in zip("abcd", rank)]).alias("rank"))
-    t, at, low = F.col("_trust"), F.col("_time"), F.col("_id")
+    rows = rows.join(ranks, F.col("source") == F.col("_source"), "left").withColumn("_trust", -F.coalesce("_rank", F.lit(one)).cast("bigint"))
+    rows = rows.withColumn("_time", F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(OLDEST)))
+    rows = rows.withColumn("_a", _attributes(F.col("attributes"))).withColumn("_id", -F.col("record_id"))
+    days = (F.lit(newest).cast("timestamp").cast("double") - F.col("extracted_at").cast("timestamp").cast("double")) / 86400
+    decay = F.when(days.isNull(), LEAST_DECAY).otherwise(F.greatest(F.lit(LEAST_DECAY), F.pow(F.lit(0.5), days / half_life_days)))
+    vote = ((F.lit(one + 1) + F.col("_trust")) * decay).cast("decimal(20,6)")
+
+    def field(name: str, value: Column, ballot: Column, lead: Column, *rank: Column) -> Column:
+        order = F.struct(*[r.alias(x) for x, r in zip("abc", rank)])
+        return F.struct(F.lit(name).alias("field"), value.alias("value"), ballot.alias("ballot"), lead.alias("lead"), order.alias("rank"))
+
+    t, at, low, none, n = F.col("_trust"), F.col("_time"), F.col("_id"), F.lit(0), F.size("_a")
     fields = F.array(
-        field("name", F.col("name"), F.col("_n"), zero, t, at, low),
-        field("context", F.col("context"), F.col("_c"), zero, at, t, low),
-        field("attributes", F.to_json("attributes"), F.array_join("_a", "\u0001"), F.size("_a").cast("bigint"), t, at, low),
+        field("name", F.col("name"), F.trim("name") if spelled else F.lit(""), none, t, at, low),
+        field("context", F.col("context"), F.trim("context") if spelled else F.lit(""), none, at, t, low),
+        field("attributes", F.to_json("attributes"), F.array_join("_a", "\u0001") if spelled else F.lit(""), n, t, at, low),
     )
-    # votes for name and context are for the spelling, as all keys of a group are equal
-    long = rows.select("model_id", "_c", "_n", "record_id", vote.alias("vote"), F.explode(fields).alias("f")).select("model_id", "_c", "_n", "record_id", "vote", "f.*")
-    spelled = F.when(F.col("field") == "attributes", F.col("key")).otherwise(F.trim("value"))
+    long = rows.select("model_id", "_c", "_n", "record_id", vote.alias("vote"), F.explode(fields).alias("f"))
+    long = long.select("model_id", "_c", "_n", "record_id", "vote", "f.*")
     group = ["model_id", "_c", "_n", "field"]
-    has = (F.col("field") != "attributes") | (F.col("rank.a") > 0)
-    ballots = long.groupBy(*group, (spelled if by == "votes" else F.lit("")).alias("ballot")).agg(
-        F.sum(F.when(has, F.col("vote"))).alias("votes"),
-        F.max(F.when(has, F.col("rank"))).alias("rank"),
-        F.max_by(F.struct("record_id", "value"), F.when(has, F.col("rank"))).alias("best"),
+    ballots = long.groupBy(*group, "lead", "ballot").agg(
+        F.sum("vote").alias("votes"),
+        F.max_by(F.struct("record_id", "value"), "rank").alias("best"),
+        F.max("rank").alias("rank"),
         F.min("record_id").alias("low"),
         F.max("record_id").alias("high"),
-        F.count_distinct("record_id").alias("n") if by == "votes" else F.lit(0).alias("n"),
+        F.count("*").alias("n"),
+    )
+    has = (F.col("field") != "attributes") | (F.col("lead") > 0)
+    order = F.when(has, F.struct("lead", "votes", "rank"))
+    won = ballots.groupBy(*group).agg(
+        F.max_by(F.struct("best.*", "votes"), order).alias("best"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")
     )
-    order = F.when(F.col("rank").isNotNull(), F.struct("votes", "rank"))
-    won = ballots.groupBy(*group).agg(F.max_by("best", order).alias("best"), F.min("low").alias("low"), F.max("high").alias("high"))
     of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    out = won.groupBy("model_id", "_c", "_n").agg(F.min("low").alias("group_id"), F.max("high").alias("_high"), *[of(f, f"best.{c}").alias(f"{f}{s}") for f in ("name", "context", "attributes") for c, s in (("value", ""), ("record_id", "_record"))])
+    parts = [of(f, f"best.{c}").alias(f"{f}{s}") for f in FIELDS for c, s in (("value", ""), ("record_id", "_record"), ("votes", "_votes"))]
+    out = won.groupBy("model_id", "_c", "_n").agg(F.min("low").alias("group_id"), F.max("high").alias("_high"), of("name", "n").alias("n_records"), *parts)
     out = out.filter("group_id <> _high").drop("_c", "_n", "_high")
     return out.withColumn("attributes", F.from_json("attributes", "array<string>"))
 
 
 def suppliers(best: DataFrame) -> DataFrame:
     """(group_id, field, record_id) of survivors: which record supplied each field."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_record").alias("record_id")) for f in ("name", "context", "attributes")])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_record").alias("record_id")) for f in FIELDS])
     return best.select("group_id", F.explode(pairs).alias("p")).select("group_id", "p.field", "p.record_id").filter("record_id IS NOT NULL")

@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
@@ -51,17 +52,19 @@ def test_ranks_against_brute_force(spark, seed):
 
 def test_votes(spark):
     at = datetime(2025, 6, 1)
-    recs = [(1, 1, "c", "n", ["p"], "b", at), (2, 1, "c", "n", ["p"], "b", at), (3, 1, "C", "N", ["q", "r"], "a", None), (3, 1, "C", "N", ["q", "r"], "a", None)]
-    df = spark.createDataFrame([(*x, "f", 1, 2, 3) for x in recs], ENTITIES)
-    best = v.survivors(df, spark.createDataFrame([("a", 1), ("b", 2)], TRUST), by="votes").first()
-    assert best["attributes"] == ["p"] and best["attributes_record"] == 1 and best["name"] == "n" and best["group_id"] == 1
-    assert v.survivors(df, spark.createDataFrame([("a", 1), ("b", 2)], TRUST)).first()["attributes_record"] == 3
+    recs = [(1, 1, "c", "n", ["p"], "b", at), (2, 1, "c", "n", ["p"], "b", at), (3, 1, "C", "N", ["q"], "a", None), (3, 1, "C", "N", ["q"], "a", None)]
+    df, trust = spark.createDataFrame([(*x, "f", 1, 2, 3) for x in recs], ENTITIES), spark.createDataFrame([("a", 1), ("b", 2)], TRUST)
+    one, many = v.survivors(df, trust).first(), v.survivors(df, trust, spelled=True).first()
+    # trust 3 and 2 (the worst rank is 3), a time that is not known has decayed to a thousandth; repeats vote once
+    assert one["name_votes"] == one["attributes_votes"] == 2 + 2 + Decimal("0.003") and one["n_records"] == 3 and one["group_id"] == 1
+    assert (one["name"], one["name_record"], one["attributes"], one["attributes_record"]) == ("N", 3, ["q"], 3)
+    assert (many["name"], many["name_record"], many["name_votes"], many["attributes"], many["attributes_record"]) == ("n", 1, 4, ["p"], 1)
 
 
 def test_no_records(spark):
     empty = spark.createDataFrame([], ENTITIES)
-    for by in ("rank", "votes"):
-        assert v.survivors(empty, spark.createDataFrame([], TRUST), by).count() == 0
+    for spelled in (False, True):
+        assert v.survivors(empty, spark.createDataFrame([], TRUST), spelled=spelled).count() == 0
 
 
 CHUNKS = "chunk_id string, doc_id bigint, doc_name string, doc_type string, section_name string, section_number string, page_number int, chunk_index int, file_path string, text string, loaded_at timestamp_ntz, piece string, k int, lead int, _key string"
