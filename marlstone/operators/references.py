@@ -1,7 +1,8 @@
 """References to records that do not exist, over time, and their cascade.
 
 Liveness at a time is found by a sweep: starts, ends and references of one key are sorted by time and summed up.
-The sweep is cut into calendar months, so that a key which holds a large share of all rows is spread over tasks.
+The sweep is cut into days, so that a key which holds a large share of all rows is spread over tasks. The cascade goes
+from the records found orphaned last to the names they bear and on to the references to these names, until none is new.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.functions.strings import is_blank, letters_digits
-from marlstone.session import cut
+from marlstone.session import cut, rounds
 
 
 def latest_by(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -26,34 +27,29 @@ def sweep(candidates: DataFrame, refs: DataFrame, keys: list[str], start: str, e
     (start <= at and (end null or end > at)), started by then, and exist at all.
 
     keys are columns of both; rows of candidates with a null start are never live or started. refs keeps its
-    columns. Nothing pairs candidates with references: the work is linear in both, and sorted by (keys, month).
+    columns. Nothing pairs candidates with references, and no join is needed: each (keys, day) that is asked gets one
+    row with the sums of the days before, and then marks and references are summed up in order of time.
     """
-    months = F.date_trunc("month", F.col("_t"))
-    begin = candidates.select(*keys, F.col(start).alias("_t"), F.lit(1).alias("_known"), F.when(F.col(end).isNull() | (F.col(end) > F.col(start)), 1).otherwise(0).alias("_live"))
-    finish = candidates.filter(F.col(end) > F.col(start)).select(*keys, F.col(end).alias("_t"), F.lit(0).alias("_known"), F.lit(-1).alias("_live"))
-    marks = begin.unionByName(finish).filter("_t IS NOT NULL").groupBy(*keys, "_t").agg(F.sum("_known").alias("_known"), F.sum("_live").alias("_live"))
-    payload = F.struct(*[F.col(c) for c in refs.columns])
-    ref = refs.select(*keys, F.col(at).alias("_t"), payload.alias("_ref"))
-    both = marks.withColumn("_ref", F.lit(None).cast(ref.schema["_ref"].dataType)).unionByName(ref.withColumn("_known", F.lit(0).cast("bigint")).withColumn("_live", F.lit(0).cast("bigint"))).withColumn("_month", months)
-    sums = marks.withColumn("_month", months).groupBy(*keys, "_month").agg(F.sum("_known").alias("_mk"), F.sum("_live").alias("_ml"))
-    ref_months = ref.withColumn("_month", months).select(*keys, "_month").distinct()
-    upto = W.partitionBy(*keys).orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
-    before = (
-        sums.unionByName(ref_months.withColumn("_mk", F.lit(0).cast("bigint")).withColumn("_ml", F.lit(0).cast("bigint")))
-        .groupBy(*keys, "_month")
-        .agg(F.sum("_mk").alias("_mk"), F.sum("_ml").alias("_ml"))
-        .select(*keys, "_month", F.coalesce(F.sum("_mk").over(upto), F.lit(0)).alias("_bk"), F.coalesce(F.sum("_ml").over(upto), F.lit(0)).alias("_bl"))
-    )
-    within = W.partitionBy(*keys, "_month").orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    swept = both.withColumn("_known", F.sum("_known").over(within)).withColumn("_live", F.sum("_live").over(within)).filter("_ref IS NOT NULL")
-    k = [*keys, "_month"]
-    a, b = swept.alias("a"), before.alias("b")
-    joined = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k], "left")
-    total = candidates.groupBy(*keys).agg(F.count("*").alias("n_all")).alias("c")
-    joined = joined.join(total, [F.col(f"a.{c}") == F.col(f"c.{c}") for c in keys], "left")
-    known = F.when(F.col("a._t").isNull(), 0).otherwise(F.col("a._known") + F.coalesce("b._bk", F.lit(0)))
-    live = F.when(F.col("a._t").isNull(), 0).otherwise(F.col("a._live") + F.coalesce("b._bl", F.lit(0)))
-    return joined.select("a._ref.*", live.alias("n_live"), known.alias("n_known"), F.coalesce("c.n_all", F.lit(0)).alias("n_all"))
+    live = F.when(F.col(end).isNull() | (F.col(end) > F.col(start)), 1).otherwise(0)
+    begin = candidates.select(*keys, F.col(start).alias("_t"), F.col(start).isNotNull().cast("bigint").alias("_known"), F.when(F.col(start).isNull(), 0).otherwise(live).cast("bigint").alias("_live"), F.lit(1).cast("bigint").alias("_all"))
+    none = F.lit(0).cast("bigint")
+    finish = candidates.filter(F.col(end) > F.col(start)).select(*keys, F.col(end).alias("_t"), none.alias("_known"), F.lit(-1).cast("bigint").alias("_live"), none.alias("_all"))
+    day = F.to_date("_t").alias("_day")
+    marks = begin.unionByName(finish).select(*keys, "_t", day, "_known", "_live", "_all")
+    asked = refs.select(*keys, F.to_date(at).alias("_day"), none.alias("_known"), none.alias("_live"), none.alias("_all"), F.lit(True).alias("_asked"))
+    days = marks.select(*keys, "_day", "_known", "_live", "_all", F.lit(False).alias("_asked")).unionByName(asked)
+    days = days.groupBy(*keys, "_day").agg(*[F.sum(c).alias(c) for c in ("_known", "_live", "_all")], F.bool_or("_asked").alias("_asked"))
+    every, earlier = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(F.asc_nulls_first("_day")).rowsBetween(W.unboundedPreceding, -1)
+    carried = days.select(*keys, "_day", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_known", "_live")], F.sum("_all").over(every).alias("_all"), "_asked").filter("_asked")
+    ref = refs.select(*keys, F.col(at).alias("_t"), F.to_date(at).alias("_day"), F.struct(*[F.col(c) for c in refs.columns]).alias("_ref"))
+    no_ref, no_time = F.lit(None).cast(ref.schema["_ref"].dataType).alias("_ref"), F.lit(None).cast(ref.schema["_t"].dataType).alias("_t")
+    columns = [*keys, "_day", "_t", "_order", "_known", "_live", "_all", "_ref"]
+    rows = carried.select("*", no_time, F.lit(0).alias("_order"), no_ref).select(columns)
+    rows = rows.unionByName(marks.filter("_t IS NOT NULL").select("*", F.lit(1).alias("_order"), no_ref).withColumn("_all", none).select(columns))
+    rows = rows.unionByName(ref.select("*", F.lit(2).alias("_order"), *[none.alias(c) for c in ("_known", "_live", "_all")]).select(columns))
+    upto = W.partitionBy(*keys, "_day").orderBy(F.asc_nulls_first("_t"), "_order").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = rows.select("_ref", *[F.sum(f"_{c}").over(upto).alias(f"n_{c}") for c in ("live", "known", "all")]).filter("_ref IS NOT NULL")
+    return summed.select("_ref.*", "n_live", "n_known", "n_all")
 
 
 def members(df: DataFrame, table: str, key: str, columns: list[str], listed: str) -> DataFrame:
@@ -61,94 +57,87 @@ def members(df: DataFrame, table: str, key: str, columns: list[str], listed: str
     return df.select(F.lit(table).alias("table_name"), F.col(key).alias("context_id"), *columns, F.posexplode(listed).alias("dep_no", "dep")).filter(~is_blank(F.col("dep")))
 
 
-def dangling(contexts: DataFrame, shared: DataFrame) -> DataFrame:
-    """Direct orphans: (table_name, context_id, dep_no, dep, model_id, reason, period, registered_at).
+REF, RECORD, NAME = ["table_name", "context_id", "dep_no", "registered_at"], ["table_name", "context_id"], ["scope", "name"]
+
+
+def registry(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bearers, links): the names that records bear, with their times, and the names that references ask for.
 
-    A reference is an orphan if no context of its name is live at its registration, among those of its model and the
-    shared ones; references of shared contexts see the shared ones only. reason: deleted, later or missing.
-    Null and blank members and names are no references and no candidates (a name with neither letters nor digits
-    bears nothing); null lists give no rows; null times are never live. Empty tables give no rows.
+    Of a context delivered again the latest delivery counts; shared contexts are taken as they are, repeated rows once.
+    A reference of a context asks for its name within its model and among the shared ones, one of a shared context
+    among the shared ones only. Null and blank members and names are no references and no bearers (a name with neither
+    letters nor digits is borne by nobody); null lists give no rows.
     """
-    own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "registered_at", "removed_at", "loaded_at"), "context_id", "loaded_at")
-    common = shared.select("context_id", "context_name", "allowed_dependencies", "registered_at", "removed_at").distinct()
+    columns = ["context_id", "context_name", "allowed_dependencies", "registered_at", "removed_at"]
+    own = cut(latest_by(contexts.select("model_id", *columns, "loaded_at"), "context_id", "loaded_at").select("model_id", *columns), "latest")
+    common = shared.select(F.lit(None).cast("bigint").alias("model_id"), *columns).distinct()
+    bears = lambda df, table, scope: df.select(F.lit(table).alias("table_name"), "context_id", scope.alias("scope"), letters_digits(F.col("context_name")).alias("name"), "registered_at", "removed_at").filter("length(name) > 0")
+    bearers = bears(own.filter("model_id IS NOT NULL"), "bounded_contexts", F.col("model_id").cast("string")).unionByName(bears(common, "shared_contexts", F.lit("*")))
     refs = members(own, "bounded_contexts", "context_id", ["model_id", "registered_at"], "allowed_dependencies").unionByName(
-        members(common.withColumn("model_id", F.lit(None).cast("bigint")), "shared_contexts", "context_id", ["model_id", "registered_at"], "allowed_dependencies")
+        members(common, "shared_contexts", "context_id", ["model_id", "registered_at"], "allowed_dependencies")
     )
-    refs = refs.withColumn("_name", letters_digits(F.col("dep")))
-    candidate = lambda df, scope: df.select(scope.alias("_scope"), letters_digits(F.col("context_name")).alias("_name"), "registered_at", "removed_at").filter("length(_name) > 0")
-    known = candidate(own.filter("model_id IS NOT NULL"), F.col("model_id").cast("string")).unionByName(candidate(common, F.lit("*")))
-    scopes = F.when(F.col("model_id").isNull(), F.array(F.lit("*"))).otherwise(F.array(F.col("model_id").cast("string"), F.lit("*")))
-    asked = refs.withColumn("_scope", F.explode(scopes))
-    swept = sweep(known, asked, ["_scope", "_name"], "registered_at", "removed_at", "registered_at")
-    one = swept.groupBy("table_name", "context_id", "dep_no").agg(
-        F.first("dep").alias("dep"), F.first("_name").alias("dep_key"), F.first("model_id").alias("model_id"), F.first("registered_at").alias("registered_at"), F.sum("n_live").alias("_live"), F.sum("n_known").alias("_known"), F.sum("n_all").alias("_all")
-    )
-    reason = F.when(F.col("_known") > 0, "deleted").when(F.col("_all") > 0, "later").otherwise("missing")
-    return one.filter("_live = 0").select("table_name", "context_id", "dep_no", "dep", "dep_key", "model_id", "registered_at", reason.alias("reason"), F.date_format("registered_at", "yyyy-MM").alias("period"))
+    scopes = F.filter(F.array(F.col("model_id").cast("string"), F.lit("*")), lambda s: s.isNotNull())
+    return bearers, refs.select(*REF, letters_digits(F.col("dep")).alias("name"), F.explode(scopes).alias("scope"))
 
 
-def cascade(edges: DataFrame, orphans: DataFrame, rounds: int = 64, bearers: DataFrame | None = None) -> DataFrame:
-    """(child, depth, direct): every record that is orphaned, depth 0 and direct if one of its own references is,
-    else inherited from a parent that is orphaned, the smallest depth counting.
+def resolved(bearers: DataFrame, links: DataFrame) -> DataFrame:
+    """(reference, n_live, n_known, n_all): how many bearers of its name each reference has, of all its scopes."""
+    swept = sweep(bearers.select(*NAME, "registered_at", "removed_at"), links.select(*REF, *NAME), NAME, "registered_at", "removed_at", "registered_at")
+    return swept.groupBy(*REF).agg(*[F.sum(c).alias(c) for c in ("n_live", "n_known", "n_all")])
 
-    edges(child, parent); orphans(child). Each round is a semi-join of the edges with the records found last and an
-    anti-join against all found, written to the shared folder, until a round finds nothing; cycles therefore end.
-    With bearers(parent, name) the parents of edges are names: a round goes from the records found last to the names
-    they bear and on to the children, so that many bearers and many children of one name are never paired.
-    A graph deeper than rounds raises an error.
-    """
-    links = cut(edges.select("child", "parent").filter("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    borne = None if bearers is None else cut(bearers.select("parent", "name").filter("parent IS NOT NULL AND name IS NOT NULL").distinct(), "bearers")
-    found = cut(orphans.select("child").filter("child IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "orphans")
-    last = found
-    for depth in range(1, rounds + 1):
-        parents = last.select(F.col("child").alias("parent"))
-        if borne is not None:
-            parents = borne.join(parents, "parent", "left_semi").select(F.col("name").alias("parent")).distinct()
-        fresh = links.join(parents, "parent", "left_semi").select("child").distinct().join(found, "child", "left_anti").withColumn("depth", F.lit(depth))
-        fresh = cut(fresh, "round")
-        if fresh.isEmpty():
-            return found.withColumn("direct", F.col("depth") == 0)
-        found, last = found.unionByName(fresh), fresh
-    raise ValueError(f"the graph is deeper than {rounds} levels")
-
-
-def node(table: Column) -> Column:
-    """A record of the graph: ids are unique within their table only."""
-    return F.struct(table.alias("table_name"), F.col("context_id").cast("bigint").alias("context_id"))
-
-
-def live_edges(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(child, parent) and (parent, name) for cascade: records refer to names, within their model or shared (shared
-    ones to shared names only), and each name is borne by any number of records. Names are nodes between records and
-    no records themselves.
+
+def orphans(contexts: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every reference that is an orphan: (table_name, context_id, dep_no, registered_at, reason, period, depth, direct).
+
+    A reference is a direct orphan (depth 0) if no bearer of its name is live at its record's registration; reason:
+    deleted if one was registered by then, else later if there is one, else missing. It is inherited (reason
+    inherited) if it has live bearers and all of them are orphaned: records with an orphan among their references. Its
+    depth is the round in which the last of them was found; so one sound bearer keeps a reference sound, and cycles
+    of sound records stay sound. Records are keyed by table and id. Null times are never live; empty tables give no rows.
+
+    Each round is a semi-join of the bearers with the records found last, one of the references with the names these
+    bear, and a sweep over both; how many of its live bearers are orphaned is carried on for each reference, so no
+    bearer is ever paired with a reference. Rounds go on until no record is new, however deep the graph is.
     """
-    own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "loaded_at"), "context_id", "loaded_at")
-    common = shared.select("context_id", "context_name", "allowed_dependencies").distinct()
-    key = lambda scope, name: F.struct(scope.alias("scope"), letters_digits(F.col(name)).alias("name"))
-    bears = lambda df, table, scope: df.select(node(F.lit(table)).alias("parent"), key(scope, "context_name").alias("name")).filter("length(name.name) > 0")
-    borne = bears(own.filter("model_id IS NOT NULL"), "bounded_contexts", F.col("model_id").cast("string")).unionByName(bears(common, "shared_contexts", F.lit("*")))
-    refs = members(own, "bounded_contexts", "context_id", ["model_id"], "allowed_dependencies").unionByName(
-        members(common.withColumn("model_id", F.lit(None).cast("bigint")), "shared_contexts", "context_id", ["model_id"], "allowed_dependencies")
-    )
-    scopes = F.filter(F.array(F.col("model_id").cast("string"), F.lit("*")), lambda s: s.isNotNull())
-    edges = refs.withColumn("_scope", F.explode(scopes)).select(node(F.col("table_name")).alias("child"), key(F.col("_scope"), "dep").alias("parent"))
-    return edges, borne
+    spark = contexts.sparkSession
+    bearers, links = registry(contexts, shared)
+    bearers, links = cut(bearers, "bearers"), cut(links, "links")
+    known = cut(resolved(bearers, links), "resolved")
+    reason = F.when(F.col("n_known") > 0, "deleted").when(F.col("n_all") > 0, "later").otherwise("missing")
+    refs, records = rounds(spark, "orphan-refs"), rounds(spark, "orphan-records")
+    none = F.lit(0).cast("bigint")
+    # lost and open: how many live bearers are orphaned, and how many there are; an orphan has lost them all
+    part = refs.add(known.filter("n_live = 0").select(*REF, none.alias("lost"), none.alias("open"), reason.alias("reason")))
+    last = records.add(part.select(*RECORD).distinct())
+    live = known.filter("n_live > 0").select(*REF, F.col("n_live").alias("open"))
+    partly = part.filter("lost < open").select(*REF, "lost")
+    while not last.isEmpty():
+        names = bearers.join(last, RECORD, "left_semi").select(*NAME, "registered_at", "removed_at")
+        asked = links.join(names.select(*NAME).distinct(), NAME, "left_semi")
+        lost = resolved(names, asked).filter("n_live > 0").select(*REF, F.col("n_live").alias("lost"))
+        lost = lost.unionByName(partly).groupBy(*REF).agg(F.sum("lost").alias("lost"))
+        # null times have no live bearers, so no key of the join is null
+        part = refs.add(live.join(lost, REF).select(*REF, "lost", "open", F.lit("inherited").alias("reason")))
+        partly = part.filter("lost < open").select(*REF, "lost")
+        last = records.add(part.filter("lost >= open").select(*RECORD).distinct().join(records.all(), RECORD, "left_anti"))
+    found = refs.all().filter("lost >= open")
+    return found.select(*REF, "reason", F.date_format("registered_at", "yyyy-MM").alias("period"), F.col("round").alias("depth"), (F.col("round") == 0).alias("direct"))
+
+
+def states(found: DataFrame) -> DataFrame:
+    """(table_name, context_id, depth, direct): every record with an orphan, the smallest depth counting."""
+    return found.groupBy(*RECORD).agg(F.min("depth").alias("depth"), F.bool_or("direct").alias("direct"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts of orphans per table, month and reason."""
+    """Counts of orphans per table, month and reason (deleted, later and missing are direct, inherited ones are not)."""
     return found.groupBy("table_name", "period", "reason").agg(F.count("*").alias("n_refs"), F.count_distinct("context_id").alias("n_contexts"))
 
 
-def levels(states: DataFrame, contexts: DataFrame, shared: DataFrame) -> DataFrame:
-    """Counts of direct and inherited orphans per table and month of registration, of states(table_name, context_id, direct).
+def levels(found: DataFrame) -> DataFrame:
+    """Per table and month of registration: references and contexts that are direct or only inherited orphans.
 
-    The month is that of a context's latest delivery; a shared context with several times counts in each of its months.
     A null time is a period of its own; months without orphans give no rows.
     """
-    own = latest_by(contexts.select("context_id", "model_id", "context_name", "allowed_dependencies", "registered_at", "removed_at", "loaded_at"), "context_id", "loaded_at")
-    month = lambda df, name: df.select(F.lit(name).alias("_table"), F.col("context_id").alias("_id"), F.date_format("registered_at", "yyyy-MM").alias("period"))
-    months = month(own, "bounded_contexts").unionByName(month(shared, "shared_contexts").distinct())
-    both = states.join(months, (F.col("table_name") == F.col("_table")) & F.col("context_id").eqNullSafe(F.col("_id")))
-    return both.groupBy("table_name", "period").agg(F.count_if("direct").alias("n_direct"), F.count_if(~F.col("direct")).alias("n_inherited"))
+    one = found.groupBy(*RECORD, "period").agg(F.count_if("direct").alias("d"), F.count_if(~F.col("direct")).alias("i"))
+    return one.groupBy("table_name", "period").agg(F.sum("d").alias("n_direct_refs"), F.sum("i").alias("n_inherited_refs"), F.count_if(F.col("d") > 0).alias("n_direct"), F.count_if(F.col("d") == 0).alias("n_inherited"))

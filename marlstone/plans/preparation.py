@@ -35,32 +35,27 @@ def p2_typed_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return references.dangling(table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts"))
+    return references.orphans(table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("table_name", "context_id", "dep_no", "reason", "period")
+    """The direct rows of the cascade."""
+    return _orphans(spark, d).filter("direct").select("table_name", "context_id", "dep_no", "reason", "period")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table, month and reason, inherited ones among them."""
     return references.report(_orphans(spark, d))
 
 
-def _states(spark: SparkSession, d: str) -> DataFrame:
-    contexts, shared = table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts")
-    direct = _orphans(spark, d).select(references.node(F.col("table_name")).alias("child"))
-    edges, bearers = references.live_edges(contexts, shared)
-    return references.cascade(edges, direct, bearers=bearers).select("child.table_name", "child.context_id", "depth", "direct")
-
-
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans of the registry with their depth in the cascade."""
-    return _states(spark, d)
+    """Records of the registry with direct or inherited orphans, with their depth in the cascade."""
+    return references.states(_orphans(spark, d))
 
 
 def p4_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table and month; p4_report has the reasons of the direct references."""
-    return references.levels(_states(spark, d), table(spark, d, "bounded_contexts"), table(spark, d, "shared_contexts"))
+    """Direct and inherited orphans per table and month."""
+    return references.levels(_orphans(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_leaves, p4_found, p4_report, p4_cascade, p4_levels)}
@@ -68,16 +63,23 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_lea
 _P4 = r"""
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY loaded_at DESC NULLS LAST) rn FROM bounded_contexts) WHERE rn = 1),
 common AS (SELECT DISTINCT * FROM shared_contexts),
-cand AS (SELECT model_id, registered_at, removed_at, regexp_replace(lower(context_name), '[^\p{L}\p{N}]', '', 'g') k FROM own WHERE model_id IS NOT NULL
-         UNION ALL SELECT NULL, registered_at, removed_at, regexp_replace(lower(context_name), '[^\p{L}\p{N}]', '', 'g') FROM common),
+cand AS (SELECT 'bounded_contexts:' || context_id rec, model_id, registered_at, removed_at, regexp_replace(lower(context_name), '[^\p{L}\p{N}]', '', 'g') k FROM own WHERE model_id IS NOT NULL
+         UNION ALL SELECT 'shared_contexts:' || context_id, NULL, registered_at, removed_at, regexp_replace(lower(context_name), '[^\p{L}\p{N}]', '', 'g') FROM common),
 refs AS (SELECT 'bounded_contexts' table_name, context_id, model_id, registered_at t, generate_subscripts(allowed_dependencies, 1) - 1 dep_no, unnest(allowed_dependencies) dep FROM own
          UNION ALL SELECT 'shared_contexts', context_id, NULL, registered_at, generate_subscripts(allowed_dependencies, 1) - 1, unnest(allowed_dependencies) FROM common),
 named AS (SELECT *, regexp_replace(lower(dep), '[^\p{L}\p{N}]', '', 'g') k FROM refs WHERE dep IS NOT NULL AND trim(dep, E' \t\r\n') <> ''),
-seen AS (SELECT r.table_name, r.context_id, r.dep_no, any_value(r.t) t,
-           coalesce(bool_or(c.registered_at <= r.t AND (c.removed_at IS NULL OR c.removed_at > r.t)), false) live,
-           coalesce(bool_or(c.registered_at <= r.t), false) known, count(c.k) n
-         FROM named r LEFT JOIN cand c ON c.k = r.k AND c.k <> '' AND (c.model_id IS NULL OR c.model_id = r.model_id) GROUP BY ALL),
-found AS (SELECT table_name, context_id, CAST(dep_no AS INTEGER) dep_no, CASE WHEN known THEN 'deleted' WHEN n > 0 THEN 'later' ELSE 'missing' END reason, strftime(t, '%Y-%m') period FROM seen WHERE NOT live)
+pairs AS (SELECT r.table_name, r.context_id, r.dep_no, r.t, c.rec, c.k IS NOT NULL is_cand, coalesce(c.registered_at <= r.t, false) known, coalesce(c.registered_at <= r.t AND (c.removed_at IS NULL OR c.removed_at > r.t), false) live
+         FROM named r LEFT JOIN cand c ON c.k = r.k AND c.k <> '' AND (c.model_id IS NULL OR c.model_id = r.model_id)),
+seen AS (SELECT table_name, context_id, CAST(dep_no AS INTEGER) dep_no, t, bool_or(live) live, bool_or(known) known, count(*) FILTER (is_cand) n FROM pairs GROUP BY ALL),
+found AS (SELECT table_name, context_id, dep_no, CASE WHEN known THEN 'deleted' WHEN n > 0 THEN 'later' ELSE 'missing' END reason, strftime(t, '%Y-%m') period FROM seen WHERE NOT live)
+"""
+_CASCADE = _P4 + r""",
+links AS (SELECT table_name || ':' || context_id child, table_name, context_id, CAST(dep_no AS INTEGER) dep_no, t, list(DISTINCT rec) bearers FROM pairs WHERE live GROUP BY ALL),
+s(n, ids, before) AS (SELECT 0, (SELECT coalesce(list(DISTINCT table_name || ':' || context_id), []) FROM found), -1
+  UNION ALL SELECT n + 1, list_distinct(list_concat(ids, (SELECT coalesce(list(DISTINCT child), []) FROM links WHERE list_has_all(s.ids, bearers)))), len(ids) FROM s WHERE len(ids) > before),
+last_ AS (SELECT ids FROM s ORDER BY n DESC LIMIT 1),
+inherited AS (SELECT table_name, context_id, dep_no, 'inherited' reason, strftime(t, '%Y-%m') period FROM links, last_ WHERE list_has_all(ids, bearers)),
+every AS (SELECT *, true direct FROM found UNION ALL SELECT *, false FROM inherited)
 """
 
 ORACLES = {
@@ -90,5 +92,9 @@ f AS (SELECT *, generate_subscripts(l, 1) - 1 ln, unnest(l) leaf FROM i)
 SELECT DISTINCT model_id, CAST(cn AS INTEGER) context_no, item_kind, CAST(n AS INTEGER) item_no, CASE item_kind WHEN 'entity' THEN 'synonym' ELSE 'attribute' END leaf_kind, CAST(ln AS INTEGER) leaf_no, leaf
 FROM f WHERE leaf IS NOT NULL AND trim(leaf, E' \t\r\n') <> ''""",
     "p4_found": f"WITH {_P4} SELECT * FROM found",
-    "p4_report": f"WITH {_P4} SELECT table_name, period, reason, count(*) n_refs, count(DISTINCT context_id) n_contexts FROM found GROUP BY ALL",
+    "p4_report": f"WITH RECURSIVE {_CASCADE} SELECT table_name, period, reason, count(*) n_refs, count(DISTINCT context_id) n_contexts FROM every GROUP BY ALL",
+    "p4_cascade": f"""WITH RECURSIVE {_CASCADE}, d AS (SELECT rec, min(n) depth FROM (SELECT n, unnest(ids) rec FROM s) GROUP BY 1)
+SELECT split_part(rec, ':', 1) table_name, CAST(split_part(rec, ':', 2) AS BIGINT) context_id, depth, depth = 0 direct FROM d""",
+    "p4_levels": f"""WITH RECURSIVE {_CASCADE}, o AS (SELECT table_name, context_id, period, count(*) FILTER (direct) d, count(*) FILTER (NOT direct) i FROM every GROUP BY ALL)
+SELECT table_name, period, CAST(sum(d) AS BIGINT) n_direct_refs, CAST(sum(i) AS BIGINT) n_inherited_refs, count(*) FILTER (d > 0) n_direct, count(*) FILTER (d = 0) n_inherited FROM o GROUP BY ALL""",
 }

@@ -49,26 +49,48 @@ def test_against_brute_force(spark, seed):
         contexts.append((i % 45, r.choice([1, 1, 1, 2, None]), "p", r.choice(names), None, deps(), when(), when(), T0 + timedelta(seconds=i), "x", 1))
     contexts.append(contexts[-1])
     shared = [(1000 + i, r.choice(names), deps(), when(), when()) for i in range(8)]
-    got = references.dangling(spark.createDataFrame(contexts, CONTEXTS), spark.createDataFrame([*shared, shared[0]], SHARED))
+    got = references.orphans(spark.createDataFrame(contexts, CONTEXTS), spark.createDataFrame([*shared, shared[0]], SHARED)).filter("direct")
     rows = [tuple(x) for x in got.select("table_name", "context_id", "dep_no", "reason", "period").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(contexts, shared)
 
 
 def test_empty(spark):
-    got = references.dangling(spark.createDataFrame([], CONTEXTS), spark.createDataFrame([], SHARED))
-    assert got.count() == 0 and references.report(got).count() == 0
+    got = references.orphans(spark.createDataFrame([], CONTEXTS), spark.createDataFrame([], SHARED))
+    assert got.count() == 0 and references.report(got).count() == 0 and references.levels(got).count() == 0
 
 
-def test_cascade(spark, rows):
-    edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (3, 4), (5, 9), (None, 1), (6, None), (2, 1)], "child bigint, parent bigint")
-    orphans = spark.createDataFrame([(1,), (4,), (None,)], "child bigint")
-    assert rows(references.cascade(edges, orphans)) == [(1, 0, True), (2, 1, False), (3, 1, False), (4, 0, True)]
-    chain = spark.createDataFrame([(i + 1, i) for i in range(6)], "child bigint, parent bigint")
-    with pytest.raises(ValueError):
-        references.cascade(chain, spark.createDataFrame([(0,)], "child bigint"), rounds=3)
+def cascade(contexts, shared):
+    """(table, id, dep_no) -> depth of every orphan: rounds over all references, all of whose live bearers must be orphans."""
+    own = {r[0]: r for r in sorted(contexts, key=lambda r: r[8])}
+    nodes = [("bounded_contexts", r[0], r[1], plain(r[3]), r[5], r[6], r[7]) for r in own.values()] + [("shared_contexts", r[0], "*", plain(r[1]), r[2], r[3], r[4]) for r in set_of(shared)]
+    refs = {}
+    for table, i, model, _, deps, t, _ in nodes:
+        for n, dep in enumerate(deps or []):
+            if dep is not None and dep.strip():
+                mine = [c for c in nodes if c[3] and c[3] == plain(dep) and (c[2] == "*" or (c[2] is not None and c[2] == model and table != "shared_contexts"))]
+                refs[table, i, n] = {c[:2] for c in mine if t is not None and c[5] is not None and c[5] <= t and (c[6] is None or c[6] > t)}
+    found, depth = {k: 0 for k, v in refs.items() if not v}, 0
+    while True:
+        lost, depth = {k[:2] for k in found}, depth + 1
+        fresh = {k: depth for k, v in refs.items() if k not in found and v <= lost}
+        if not fresh:
+            return found
+        found |= fresh
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cascade_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    names = [f"N{i}" for i in range(30)] + [None, "--"]
+    when = lambda: T0 + timedelta(days=r.randint(0, 60))
+    contexts = [(i, r.choice([1, 1, 2, None]), "p", r.choice(names), None, [r.choice(names) for _ in range(r.randint(0, 2))], when(), r.choice([None, None, when()]), T0 + timedelta(seconds=i), "x", 1) for i in range(90)]
+    shared = [(i, r.choice(names), [r.choice(names)], when(), None) for i in range(8)]
+    got = references.orphans(spark.createDataFrame(contexts, CONTEXTS), spark.createDataFrame(shared, SHARED)).collect()
+    want = cascade(contexts, shared)
+    assert len(got) == len(want) and {(x["table_name"], x["context_id"], x["dep_no"]): x["depth"] for x in got} == want and max(want.values()) > 1
 
 
-def registry(spark):
+def small(spark):
     """Shared: A (1) refers to nothing that exists, B (2) to A, C (3) to B. Bounded: id 1 is sound, 2 refers to C, 3 to
     id 1's name, 4 and 5 bear one name and 5 alone is an orphan, 6 refers to that name."""
     late = T0 + timedelta(days=1)
@@ -78,38 +100,30 @@ def registry(spark):
     return spark.createDataFrame(own, CONTEXTS), spark.createDataFrame(shared, SHARED)
 
 
-def states(contexts, shared):
-    from pyspark.sql import functions as F
-
-    direct = references.dangling(contexts, shared).select(references.node(F.col("table_name")).alias("child"))
-    edges, bearers = references.live_edges(contexts, shared)
-    return references.cascade(edges, direct, bearers=bearers).select("child.table_name", "child.context_id", "depth", "direct")
-
-
 def test_cascade_keeps_tables_and_names_apart(spark):
-    got = {(r[0], r[1]): (r[2], r[3]) for r in states(*registry(spark)).collect()}
-    assert got["shared_contexts", 1] == (0, True)
-    # bounded 1 and 3 are sound though shared 1 is an orphan; 4 refers to nothing though its namesake 5 is an orphan
-    assert not {("bounded_contexts", 1), ("bounded_contexts", 3), ("bounded_contexts", 4)} & set(got)
-    assert got["bounded_contexts", 5] == (0, True) and got["bounded_contexts", 6] == (1, False)
-
+    found = references.orphans(*small(spark))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in references.states(found).collect()}
+    # bounded 1 and 3 are sound though shared 1 is an orphan; 6 has a sound bearer beside the orphaned one
+    assert got == {("shared_contexts", 1): (0, True), ("shared_contexts", 2): (1, False), ("shared_contexts", 3): (2, False), ("bounded_contexts", 2): (3, False), ("bounded_contexts", 5): (0, True)}
 
-def test_cascade_runs_through_shared_contexts(spark):
-    got = {(r[0], r[1]): (r[2], r[3]) for r in states(*registry(spark)).collect()}
-    assert {k[1]: v for k, v in got.items() if k[0] == "shared_contexts"} == {1: (0, True), 2: (1, False), 3: (2, False)}
-    assert got["bounded_contexts", 2] == (3, False)
 
+def test_cascade_follows_only_live_bearers(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    own = [(1, 7, "p", "Sales", None, ["gone"], day(0), day(2), T0, "x", 1), (2, 7, "p", "Sales", None, [], day(0), None, T0, "x", 1), (3, 7, "p", "Shop", None, ["Sales"], day(5), None, T0, "x", 1)]
+    got = references.states(references.orphans(spark.createDataFrame(own, CONTEXTS), spark.createDataFrame([], SHARED))).collect()
+    assert [tuple(r) for r in got] == [("bounded_contexts", 1, 0, True)]
 
-def test_levels(spark, rows):
-    contexts, shared = registry(spark)
-    got = rows(references.levels(states(contexts, shared), contexts, shared))
-    assert got == [("bounded_contexts", "2025-01", 1, 1), ("bounded_contexts", "2025-02", 0, 1), ("shared_contexts", "2025-01", 1, 2)]
 
+def test_long_chains_have_no_bound(spark):
+    own = [(i, 7, "p", f"N{i}", None, [f"N{i - 1}" if i else "gone"], T0, None, T0, "x", 1) for i in range(7)]
+    got = references.states(references.orphans(spark.createDataFrame(own, CONTEXTS), spark.createDataFrame([], SHARED))).collect()
+    assert {r["context_id"]: r["depth"] for r in got} == {i: i for i in range(7)}
 
-def test_levels_is_registered():
-    from marlstone.plans import preparation
 
-    assert "p4_levels" in preparation.QUERIES
+def test_levels(spark, rows):
+    found = references.orphans(*small(spark))
+    assert rows(references.levels(found)) == [("bounded_contexts", "2025-01", 1, 1, 1, 1), ("shared_contexts", "2025-01", 1, 2, 1, 2)]
+    assert ("shared_contexts", "2025-01", "inherited", 2, 2) in rows(references.report(found))
 
 
 def test_prefix_sums(spark):
