@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "code_submissions"))
 
 
+def p1_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What became of all literals: how many values and places each step of the method decided."""
+    return credentials.decisions(table(spark, d, "code_submissions"))
+
+
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "code_submissions")
     return credentials.redact(files, credentials.find_credentials(files))
@@ -96,7 +101,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_decisions, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_shares)}
 
 _P3 = r"""
 top AS (SELECT coalesce(max(trust_rank), 0) + 1 worst FROM source_trust),
