@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.ranks import salt
 from marlstone.llm import sieve
+from marlstone.llm.hashing import AT_ONCE, Spans, codes_of
 from marlstone.session import cut
 
 # --- fixed values: public formats of tokens and names of credentials ---
@@ -339,39 +340,11 @@ def _by_saying(text: str, a: int, z: int, put) -> None:
 
 # --- over a corpus ------------------------------------------------------------------------------------------------
 
-#: Words of a value that are looked up by their hash, and code points that a worker hashes at once.
-MOST_RUNS, AT_ONCE = 8, 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Words of a value that are looked up by their hash.
+MOST_RUNS = 8
 _of_words: list[np.ndarray] = []
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
-
-def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """A hash of each span: a polynomial of its code points, whose prefix sums are sums."""
-    with np.errstate(over="ignore"):
-        h = (sums[ends] - sums[starts]) * _powers[1][starts]
-        h += (ends - starts).astype(np.uint64)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def _prefix(codes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        if not _powers or len(_powers[0]) <= len(codes):
-            n = max(AT_ONCE, 2 * len(codes))
-            _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, _UNBASE)]
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(codes)], out=sums[1:])
-    return sums
-
-
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of letters, digits and underscores."""
     if not _of_words:
@@ -383,12 +356,12 @@ def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def value_key(value: str) -> tuple[int, int, int, int] | None:
     """(hash, runs, before, after) of a value's first words, 8 at most: the hash of what they span, their number, and how
     many code points of the value lie before and behind. None for a value without a letter or digit."""
-    codes = _codes(value)
+    codes = codes_of(value)
     starts, ends = _runs(codes)
     if not len(starts):
         return None
     n = min(MOST_RUNS, len(starts))
-    h = _hashes(codes, starts[:1], ends[n - 1 : n], _prefix(codes))
+    h = Spans(codes).of(starts[:1], ends[n - 1 : n])
     return int(h.view(np.int64)[0]), n, int(starts[0]), len(value) - int(ends[n - 1])
 
 
@@ -416,10 +389,10 @@ def _look(words, runs: list[int], before: int, after: int):
         codes = np.concatenate([x for _, _, _, c in held for x in (c, np.array([10], np.uint32))])
         bounds = np.cumsum([0] + [len(c) + 1 for *_, c in held])
         starts, ends = _runs(codes)
-        sums, out = _prefix(codes), []
+        spans, out = Spans(codes), []
         for k in runs:
             s, e = starts[: len(starts) - k + 1], ends[k - 1 :]
-            h = _hashes(codes, s, e, sums)
+            h = spans.of(s, e)
             yes = np.flatnonzero(sieve.passes(words.value, h))
             of = np.searchsorted(bounds, s[yes], side="right") - 1
             for i, x, y, hh in zip(of, s[yes] - bounds[of], e[yes] - bounds[of], h[yes].view(np.int64)):
@@ -433,7 +406,7 @@ def _look(words, runs: list[int], before: int, after: int):
         for b in batches:
             held, size = [], 0
             for key, owner, text in zip(b["_id"], b["_owner"], b["_text"]):
-                held.append((key, owner, text, _codes(text)))
+                held.append((key, owner, text, codes_of(text)))
                 size += len(text)
                 if size >= AT_ONCE:
                     yield portion(held)

@@ -1,8 +1,12 @@
 """Long spans that texts share character by character.
 
-Windows are found repeated level by level: anchors of a quarter of the length first, then windows of twice that
-around the anchors that some other text has too, then windows of the full length at the places left. An anchor is a
-window whose hash is the smallest within the full length: any shared span holds one that both texts choose.
+Windows are found repeated level by level, each about twice as long as before: anchors of a quarter of the length
+first, then windows of twice that around the anchors that another text has too, then whole groups of the full windows
+around what is left. An anchor is a window whose hash is the smallest within the full length: any shared span holds
+one that both texts choose. A group of neighbouring windows is settled at once: if what all of them cover together
+stands in another text, each of them is shared; if what they have in common does not, none is; only groups between the
+two are cut into smaller ones, until no candidate is left. So inside a shared span there is a row for a group of
+windows, and single windows are compared at its ends alone.
 """
 
 from __future__ import annotations
@@ -10,42 +14,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm import sieve
+from marlstone.llm.hashing import AT_ONCE, Spans, codes_of
 from marlstone.session import cut
 
-#: Code points that a worker hashes at once, and rows of survivors up to which they are sent to all executors.
-AT_ONCE, MOST_SENT = 1 << 20, 2_000_000
-
-
-def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    z = a * np.uint64(k | 1)
-    z += b
-    z ^= z >> np.uint64(29)
-    z *= np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(32)
-    return z
-
-
-def window_hashes(codes: np.ndarray, lengths: tuple[int, ...], seed: int = 1) -> dict[int, np.ndarray]:
-    """Hashes of the windows of each length at each place, halves joined: h(L) = mix(h(m) here, h(m) at L - m), m = ceil(L/2)."""
-    need: list[int] = []
-    for length in lengths:
-        while length > 1 and length not in need:
-            need.append(length)
-            length = (length + 1) // 2
-    with np.errstate(over="ignore"):
-        h = {1: (codes + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)}
-        h[1] ^= h[1] >> np.uint64(31)
-        for length in sorted(need):
-            m = (length + 1) // 2
-            n = max(0, len(codes) - length + 1)
-            h[length] = _mix(h[m][:n], h[m][length - m : length - m + n], 0xBF58476D1CE4E5B9 + 2 * length + (seed << 20))
-    return h
+#: Ids of copies up to which they are sent to all executors; code points of a letter of the hashes.
+MOST_SENT, LETTER = 2_000_000, 2
 
 
 def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -57,69 +37,63 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(a[: len(a) - (width - done)], a[width - done :]) if width > done else a
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-
-
-def _portions(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, codes, start of each text, text of each place) of some texts of a batch at a time."""
-    ids, parts, size = [], [], 0
-    for key, text in zip(b["_id"], b["_text"]):
-        ids.append(key)
-        parts.append(_codes(text))
+def _portions(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice]]:
+    """(ids, codes, bounds, which) of some texts of a batch at a time: text i of them is codes[bounds[i] : bounds[i + 1]]."""
+    begin, parts, size = 0, [], 0
+    for i, text in enumerate(texts):
+        parts.append(codes_of(text))
         size += len(parts[-1])
-        if size >= AT_ONCE:
-            yield _joined(ids, parts)
-            ids, parts, size = [], [], 0
-    if ids:
-        yield _joined(ids, parts)
-
-
-def _joined(ids: list, parts: list[np.ndarray]):
-    sizes = np.array([len(p) for p in parts])
-    return np.array(ids, np.int64), np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-
-
-def _anchored(b: pd.DataFrame, span: int):
-    """(id, h, right, left, place) of the anchors of a batch; right and left are 0 where a text ends before."""
-    k = span // 4
-    for ids, codes, starts, of in _portions(b):
-        if len(codes) < span:
-            continue
-        h = window_hashes(codes, (k, 2 * k))
-        width = span - k + 1
-        low = _slide(h[k], width, np.minimum)  # of each window of length span
-        low[of[: len(low)] != of[span - 1 :]] = 0  # windows that would cross texts choose nothing
-        edge = np.zeros(width - 1, np.uint64)
-        high = _slide(np.concatenate([edge, low, edge]), width, np.maximum)
-        at = np.flatnonzero((high == h[k]) & (h[k] > 0))
-        n = len(codes)
-        right_ok = (at + 2 * k <= n) & (of[np.minimum(at + 2 * k - 1, n - 1)] == of[at])
-        left_ok = (at - k >= 0) & (of[np.maximum(at - k, 0)] == of[at])
-        right = np.where(right_ok, h[2 * k][np.minimum(at, len(h[2 * k]) - 1)], np.uint64(0))
-        left = np.where(left_ok, h[2 * k][np.maximum(at - k, 0)], np.uint64(0))
-        yield ids[of[at]], h[k][at], right, left, (at - starts[of[at]]).astype(np.int32)
-
-
-def _settled(held: list[tuple]) -> pd.DataFrame:
-    """The full windows of some texts, with alone: 0 for rows that still have to meet the other texts' rows.
-
-    A window that two of these texts have is settled here: only its first row of the smallest and of the greatest id
-    go on to meet others, the rest, which may be many, carry a number of their own and meet nobody.
-    """
-    ids, one, two, at = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((ids, two, one))
-    ids, one, two, at = ids[order], one[order], two[order], at[order]
+        if size >= AT_ONCE or i == len(texts) - 1:
+            yield ids[begin : i + 1], np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts]), slice(begin, i + 1)
+            begin, parts, size = i + 1, [], 0
+
+
+def _anchored(ids: np.ndarray, codes: np.ndarray, bounds: np.ndarray, span: int):
+    """(text's number, hash, hash of the window twice as long from there on, of the one that ends with it, place) of all
+    anchors; the doubled hashes are 0 where a text ends before."""
+    k, n = span // 4, len(codes)
+    of = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
+    spans = Spans(codes, LETTER)
+    h, twice = spans.windows(k), spans.windows(2 * k)
+    width = span - k + 1
+    low = _slide(h, width, np.minimum)  # of each window of length span
+    low[of[: len(low)] != of[span - 1 :]] = 0  # windows that would cross texts choose nothing
+    edge = np.zeros(width - 1, np.uint64)
+    high = _slide(np.concatenate([edge, low, edge]), width, np.maximum)
+    at = np.flatnonzero((high == h) & (h > 0))
+    right_ok = (at + 2 * k <= n) & (of[np.minimum(at + 2 * k - 1, n - 1)] == of[at])
+    left_ok = (at - k >= 0) & (of[np.maximum(at - k, 0)] == of[at])
+    right = np.where(right_ok, twice[np.minimum(at, len(twice) - 1)], np.uint64(0))
+    left = np.where(left_ok, twice[np.maximum(at - k, 0)], np.uint64(0))
+    return of[at], h[at], right, left, at - bounds[of[at]]
+
+
+def _of_two(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether another id has an equal key."""
+    order = np.lexsort((ids, *keys))
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(ids)) - 1
+    out = np.zeros(len(ids), bool)
+    out[order] = (ids[order][first] != ids[order][last])[np.cumsum(fresh) - 1]
+    return out
+
+
+def _listed(ids: np.ndarray, places: np.ndarray, columns: dict[str, np.ndarray], by: list[str]) -> pa.RecordBatch:
+    """A row for each id and different values of columns, with the list of places. sure: two of these ids have the same
+    values of by, so the row need not meet those of other tasks to be known as shared."""
+    names = list(columns)
+    order = np.lexsort((places, *columns.values(), ids))
+    ids, places, cols = ids[order], places[order], [c[order] for c in columns.values()]
     fresh = np.ones(len(ids), bool)
-    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    group = np.cumsum(fresh) - 1
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in (ids, *cols)], axis=0)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(ids)) - 1 if len(first) else first
-    shared = (ids[first] != ids[last])[group]
-    alone = np.where(shared, ids * 2 + 1, 0)  # odd, so never 0
-    alone[first] = 0
-    alone[last] = 0
-    return pd.DataFrame({"_id": ids, "h1": one, "h2": two, "at": at, "alone": alone})
+    ids, cols = ids[first], [c[first] for c in cols]
+    sure = _of_two(ids, *[cols[names.index(b)] for b in by]) if len(ids) else np.zeros(0, bool)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(places)).astype(np.int32)), pa.array(places.astype(np.int32)))
+    signed = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c) for c in signed], lists, pa.array(sure)], ["_id", *names, "places", "sure"])
 
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
@@ -139,6 +113,47 @@ def merge(spans: DataFrame, block: int = 4096) -> DataFrame:
     return once(once(spans.withColumn("_block", F.floor(F.col("a") / block)), "_id", "_block").drop("_block"), "_id")
 
 
+def _first_groups(starts: np.ndarray, span: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number of places) of the groups of windows that hold an anchor, for anchors at starts. They are told
+    by the distance to the anchor, so that all texts with the anchor have the same groups."""
+    reach = span - span // 4 + 1  # windows that hold it begin up to reach - 1 before it
+    far = np.arange(width, reach + width, width).clip(max=reach)  # the first place of each group, before the anchor
+    many = np.diff(np.concatenate([[0], far]))
+    return (starts[:, None] - far[None, :] + 1).ravel(), np.tile(many, len(starts))
+
+
+def _level(width: int, span: int):
+    """The worker of a level: texts with their candidate groups, cut into groups of width places at most, to rows with
+    u1 and u2, the hash of what all windows of a group cover (has: the text reaches so far), and c, of what they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, firsts, many = b.column("_text").to_pylist(), b.column("firsts"), b.column("many")
+            for ids, codes, bounds, which in _portions(b.column("_id").to_numpy(), texts):
+                part = [x.slice(which.start, which.stop - which.start) for x in (firsts, many)]
+                of = np.repeat(np.arange(len(ids)), part[0].value_lengths().to_numpy())
+                q, w = (x.flatten().to_numpy().astype(np.int64) for x in part)
+                pieces = -(-w // width)  # cut into groups of this level
+                of, q, w, no = (np.repeat(x, pieces) for x in (of, q, w, np.zeros(len(w), np.int64)))
+                no = np.arange(len(q)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                q, w = q + no * width, np.minimum(width, w - no * width)
+                size = np.diff(bounds)[of]
+                ok = (q + w - 1 >= 0) & (q + span <= size)  # at least one window of the group is in the text
+                of, q, w, size = of[ok], q[ok], w[ok], size[ok]
+                _, keep = np.unique(np.stack([of, q, w]), axis=1, return_index=True)
+                of, q, w, size = of[keep], q[keep], w[keep], size[keep]
+                has = (q >= 0) & (q + w - 1 + span <= size)
+                base = bounds[of]
+                a, z = np.where(has, base + q, base), np.where(has, base + q + w - 1 + span, base + span)
+                one, two = Spans(codes, LETTER, 0), Spans(codes, LETTER, 1)
+                u1, u2 = (np.where(has, x.of(a, z), np.uint64(0)) for x in (one, two))
+                c = one.of(base + q + w - 1, base + q + span)
+                out = _listed(ids[of], q, {"u1": u1, "u2": u2, "c": c, "w": w.astype(np.int32), "has": has}, ["u1", "u2"])
+                yield out.set_column(out.schema.get_field_index("sure"), "sure", pa.compute.and_(out.column("sure"), out.column("has")))
+
+    return run
+
+
 def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, most_bits: int = 1 << 27) -> DataFrame:
     """(key, start_pos, n_chars): the maximal runs of places of a text that lie in spans of at least span code points
     which a text of another key has too; runs that touch are one.
@@ -152,61 +167,72 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
         raise ValueError("span must be 8 or more")
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & (F.length("_text") >= span))
-    same = docs.select(F.md5("_text").alias("_m"), F.length("_text").alias("n"), "_id").groupBy("_m", "n").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-    copied = cut(docs.select(F.md5("_text").alias("_m"), F.length("_text").alias("n"), "_id").join(same.filter("first < last"), ["_m", "n"]).select("_id", "n", "first").distinct(), "copied")
+    marks = docs.select(F.xxhash64("_text").alias("_m"), F.xxhash64(F.lit(1), "_text", F.lit(2)).alias("_o"), F.length("_text").alias("n"), "_id")
+    same = marks.groupBy("_m", "_o", "n").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).filter("first < last")
+    copied = cut(marks.join(same, ["_m", "_o", "n"]).select("_id", "n", "first").distinct(), "copied")
     # of equal texts, one goes on; the rest leave by an anti-join, without moving texts where their ids are few
     rest = copied.filter("_id <> first").select("_id")
     only = docs.join(F.broadcast(rest) if copied.count() <= MOST_SENT else rest, "_id", "left_anti")
 
-    def first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, h, _, _, _ in _anchored(b, span):
-                yield pd.DataFrame({"_id": ids, "h": h.view(np.int64)})
+            for ids, codes, bounds, _ in _portions(b.column("_id").to_numpy(), b.column("_text").to_pylist()):
+                of, h, _, _, _ = _anchored(ids, codes, bounds, span)
+                pairs = np.unique(np.stack([ids[of], h.view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["_id", "h"])
 
-    again = cut(repeated(only.mapInPandas(first_level, "_id long, h long"), "h"), "level1")
+    again = cut(repeated(only.mapInArrow(first_level, "_id long, h long"), "h"), "level1")
     words = spark.sparkContext.broadcast(sieve.build(again, "h", sieve.bits_for(again.count(), most_bits)))
 
-    def second_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, h, right, left, at in _anchored(b, span):
+            for ids, codes, bounds, _ in _portions(b.column("_id").to_numpy(), b.column("_text").to_pylist()):
+                of, h, right, left, at = _anchored(ids, codes, bounds, span)
                 yes = sieve.passes(words.value, h)
-                ids, h, right, left, at = ids[yes], h[yes].view(np.int64), right[yes], left[yes], at[yes]
-                both = [(ids[ok], h[ok], np.full(ok.sum(), side, np.int8), side_h[ok].view(np.int64), at[ok]) for side, side_h in ((0, right), (1, left)) if (ok := side_h != 0).any()]
-                for i, x, s, hh, a in both:
-                    yield pd.DataFrame({"_id": i, "h": x, "side": s, "hh": hh, "at": a})
-
-    double = only.mapInPandas(second_level, "_id long, h long, side byte, hh long, at int").join(again, "h", "left_semi").select("_id", "side", "hh", "at")
-    double = cut(double, "level2")
-    left = cut(double.join(repeated(double, "side", "hh"), ["side", "hh"], "left_semi").groupBy("_id").agg(F.collect_list(F.col("at").cast("bigint") * 2 + F.col("side")).alias("anchors"), F.count("*").alias("n")), "anchors")  # one text's
-    k = span // 4
-    sent = left.agg(F.sum("n")).first()[0] or 0
-
-    def third_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                of, at, both = np.tile(of[yes], 2), np.tile(at[yes], 2), np.concatenate([right[yes], left[yes]])
+                yield _listed(ids[of[both != 0]], at[both != 0], {"hh": both[both != 0]}, ["hh"])
+
+    double = cut(only.mapInArrow(second_level, "_id long, hh long, places array<int>, sure boolean"), "level2")
+    kept = double.filter("sure").unionByName(double.filter("NOT sure").join(repeated(double, "hh"), "hh", "left_semi").select(double.columns))
+    anchors = kept.groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # one text's
+    widths = list(dict.fromkeys((max(1, span // 3), max(1, span // 12), 1)))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[tuple] = []
-            for key_, text_, anchors in zip(b["_id"], b["_text"], b["anchors"]):
-                codes = _codes(text_)
-                n = len(codes) - span + 1
-                edges = np.zeros(n + 1, np.int32)
-                of = np.asarray(anchors, np.int64)
-                of = (of >> 1) - (of & 1) * k  # where the doubled window starts; the full ones that hold it follow
-                np.add.at(edges, np.clip(of - (span - 2 * k), 0, n), 1)
-                np.add.at(edges, np.clip(of + 1, 0, n), -1)
-                at = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                one, two = (window_hashes(codes, (span,), seed)[span][at].view(np.int64) for seed in (1, 7))
-                held.append((np.full(len(at), key_, np.int64), one, two, at.astype(np.int32)))
-                if sum(len(h[0]) for h in held) >= AT_ONCE:
-                    yield _settled(held)
-                    held = []
-            if held:
-                yield _settled(held)
-
-    texts = only.join(F.broadcast(left) if sent <= MOST_SENT else left, "_id").select("_id", "_text", "anchors")
-    full = texts.mapInPandas(third_level, "_id long, h1 long, h2 long, at int, alone long")
-    by = W.partitionBy("h1", "h2", "alone")
-    full = full.withColumn("_low", F.min("_id").over(by)).withColumn("_high", F.max("_id").over(by)).filter("alone <> 0 OR _low < _high")
-    spans = merge(full.select("_id", F.col("at").alias("a"), (F.col("at") + span).alias("z")))
+            lists = b.column("places")
+            firsts, many = _first_groups(lists.flatten().to_numpy().astype(np.int64), span, widths[0])
+            each = len(firsts) // max(1, len(lists.flatten()))
+            offsets = pa.array((np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]) * each).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (firsts, many)]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *arrays], ["_id", "firsts", "many"])
+
+    left = cut(anchors.mapInArrow(grouped, "_id long, firsts array<int>, many array<int>"), "groups")
+    found = []
+    for width, smaller in zip(widths, [*widths[1:], None]):
+        # written before, so that a table small enough to be sent is known as such and the texts need not move
+        texts = only.join(left, "_id").select("_id", "_text", "firsts", "many")
+        rows = cut(texts.mapInArrow(_level(width, span), "_id long, u1 long, u2 long, c long, w int, has boolean, places array<int>, sure boolean"), "level3")
+        unsure = rows.filter("NOT sure")
+        shared = repeated(rows.filter("has"), "u1", "u2")
+        found.append(cut(rows.filter("sure").unionByName(unsure.filter("has").join(shared, ["u1", "u2"], "left_semi").select(rows.columns)), "shared"))
+        if smaller is None:
+            break
+        # groups that are not settled but share their middle are cut; of the settled ones with that middle, which may be
+        # many, two of each kind go along, so that the smaller groups meet what stands there
+        open_ = cut(unsure.join(shared, ["u1", "u2"], "left_anti").join(repeated(rows, "c"), "c", "left_semi").select("_id", "c", "w", "places"), "open")
+        one = F.struct("_id", F.col("places")[0].alias("q"))
+        witness = found[-1].groupBy("u1", "u2", "c", "w").agg(F.array_distinct(F.array(F.min(one), F.max(one))).alias("two"))
+        witness = witness.join(open_.select("c").distinct(), "c", "left_semi").select("w", F.explode("two").alias("t"))
+        lists = open_.select("_id", F.col("places").alias("q"), F.array_repeat("w", F.size("places")).alias("m"))
+        lists = lists.unionByName(witness.select("t._id", F.array("t.q").alias("q"), F.array("w").alias("m")))
+        left = cut(lists.groupBy("_id").agg(F.flatten(F.collect_list("q")).alias("firsts"), F.flatten(F.collect_list("m")).alias("many")), "groups")
+        if left.isEmpty():
+            break
     whole = copied.select("_id", F.lit(0).alias("a"), F.col("n").alias("z"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    spans = merge(every.select("_id", F.explode("places").alias("a"), "w").select("_id", "a", (F.col("a") + F.col("w") - 1 + span).alias("z")))
     firsts = copied.filter("_id = first").select("_id")
     spans = spans.join(firsts, "_id", "left_anti").unionByName(whole)
     return spans.select(F.col("_id").alias(key), F.col("a").cast("int").alias("start_pos"), (F.col("z") - F.col("a")).cast("int").alias("n_chars"))

@@ -3,6 +3,7 @@ import base64
 import pytest
 
 from marlstone.llm import credentials as c
+from marlstone.llm.hashing import Spans, codes_of
 
 GH, AK, GL = "ghp_" + "A1b2" * 9, "AKIA" + "Q7W8E9R0T1Y2U3I4", "glpat-" + "aB3_" * 5
 SK = "sk_live_" + "a1B2c3" * 4
@@ -94,11 +95,11 @@ def test_values_with_one_beginning_do_not_meet(spark):
 
 def test_key_of_a_value():
     text = "a b, 'pass-Word_1.é!' c"
-    codes = c._codes(text)
+    codes = codes_of(text)
     starts, ends = c._runs(codes)
     h, n, before, after = c.value_key("'pass-Word_1.é!")
     assert (n, before, after) == (3, 1, 1)
-    assert h in c._hashes(codes, starts[: len(starts) - n + 1], ends[n - 1 :], c._prefix(codes)).view("int64") and c.value_key("!?") is None
+    assert h in Spans(codes).of(starts[: len(starts) - n + 1], ends[n - 1 :]).view("int64") and c.value_key("!?") is None
 
 
 def test_blank_keeps_lines():

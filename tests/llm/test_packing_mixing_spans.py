@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from marlstone.llm import mixing, packing, sieve, spans, tokens
+from marlstone.llm import hashing, mixing, packing, sieve, spans, tokens
 
 TOKENS = "doc_id bigint, source string, n_tokens bigint, free int, rank int, _bucket int, container_no int, grp int"
 
@@ -159,6 +159,27 @@ def test_many_copies_and_long_texts(spark):
         assert (1000 + i, 270, 300) in got or any(x[0] == 1000 + i and x[1] <= 270 and x[1] + x[2] >= 570 for x in got)
 
 
+def test_notice_everywhere_and_one_character(spark):
+    """A notice in every text, and long texts of one character, which are anchors at every place."""
+    r = random.Random(9)
+    notice = "".join(r.choice("abcdefgh ") for _ in range(230))
+    texts = [(i, "".join(r.choice("ijklmn") for _ in range(150)) + notice + "".join(r.choice("opqrst") for _ in range(90))) for i in range(200)]
+    texts += [(900, "=" * 1_000_000), (901, "-" * 300 + "=" * 400), (902, "x" * 250), (903, "x" * 199 + "y")]
+    got = {tuple(x) for x in spans.shared_spans(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)).collect()}
+    ends = [x for x in got if x[0] < 900]
+    assert len(ends) == 200 and all(x[1] <= 150 and x[1] + x[2] >= 380 for x in ends)
+    assert {x for x in got if x[0] >= 900} == {(900, 0, 1_000_000), (901, 300, 400)}
+
+
+def test_hashes_of_spans():
+    codes = hashing.codes_of("ab😀cd" * 9)
+    for letter in (1, 2):
+        h = hashing.Spans(codes, letter, 1)
+        assert (h.windows(7) == h.of(np.arange(len(codes) - 6), np.arange(7, len(codes) + 1))).all()
+        assert h.of(np.array([0]), np.array([7])) == h.of(np.array([5]), np.array([12])) != h.of(np.array([1]), np.array([8]))
+        assert (hashing.Spans(codes[5:], letter, 1).windows(7) == h.windows(7)[5:]).all()
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert spans.shared_spans(empty).count() == 0 and spans.shared_shares(empty, spans.shared_spans(empty)).count() == 0
