@@ -26,8 +26,8 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact(files, credentials.find_credentials(files))
 
 
-def _survivors(spark: SparkSession, d: str, **how) -> DataFrame:
-    return survivors.survivors(table(spark, d, "specialist_entities"), table(spark, d, "source_trust"), **how)
+def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "specialist_entities"), table(spark, d, "source_trust")
 
 
 def _listed(best: DataFrame) -> DataFrame:
@@ -35,17 +35,17 @@ def _listed(best: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.suppliers(_survivors(spark, d))
+    return survivors.suppliers(*_entities(spark, d))
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The surviving records with the votes that their values have."""
-    return _listed(_survivors(spark, d))
+    return _listed(survivors.survivors(*_entities(spark, d)))
 
 
 def p3_voted(spark: SparkSession, d: str) -> DataFrame:
     """Survivors where each spelling stands for election by itself."""
-    return _listed(_survivors(spark, d, spelled=True))
+    return _listed(survivors.survivors(*_entities(spark, d), spelled=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,9 +87,21 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "source_weights"))
 
 
+def _all_tokens(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]  # one number
+
+
+def p7_full(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of as many tokens as all documents have: scarce sources fall short of their shares."""
+    sizes = _sizes(spark, d)
+    return mixing.mix(sizes, table(spark, d, "source_weights"), total_tokens=_all_tokens(sizes))
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that p7_mixture and p7_full reached."""
     sizes, weights = _sizes(spark, d), table(spark, d, "source_weights")
-    return mixing.shares(sizes, weights, mixing.mix(sizes, weights))
+    parts = [mixing.shares(sizes, weights, mixing.mix(sizes, weights, t), t).select(F.lit(name).alias("mixture"), "*") for name, t in (("shares held", None), ("all tokens", _all_tokens(sizes)))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +113,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_decisions, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_decisions, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_full, p7_shares, p8_found, p8_shares)}
 
 _P3 = r"""
 top AS (SELECT coalesce(max(trust_rank), 0) + 1 worst FROM source_trust),

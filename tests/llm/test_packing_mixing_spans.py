@@ -86,12 +86,32 @@ def test_mix(spark):
     shares = {x["source"]: x for x in mixing.shares(t, w, mixture).collect()}
     assert abs(sum(x["reached_share"] for x in shares.values()) - 1) < 1e-9 and shares["gone"]["mixed_tokens"] == 0 and shares["zz"]["n_docs"] > 0
     # within a source, copies differ by one at most: no document is left behind
-    expected = mixing.plan({s: (sum((x[1] or "").strip().lower() == s and x[2] > 0 for x in docs), sum(x[2] for x in docs if (x[1] or "").strip().lower() == s)) for s in cap}, {"a": (0.5, 3), "b": (0.3, 2), "c": (0.1, 5), "gone": (0.1, 9), "null": (0, 1)}, 17)
+    expected = mixing.plan({s: (sum((x[1] or "").strip().lower() == s and x[2] > 0 for x in docs), sum(x[2] for x in docs if (x[1] or "").strip().lower() == s)) for s in cap}, {"a": (0.5, 3), "b": (0.3, 2), "c": (0.1, 5), "gone": (0.1, 9), "null": (0, 1)})
     for s in cap:
         of = Counter(x["copies"] for x in rows if x["source"] == s)
         assert set(of) <= {int(expected[s]["copies"]), int(expected[s]["copies"]) + 1}
 
 
+def test_scarce_source_falls_short(spark):
+    """A source of one small document does not empty the other; with a total, shares are of that total."""
+    t = table(spark, [*[(i, "big", 1000) for i in range(2000)], (9999, "tiny", 100)])
+    w = spark.createDataFrame([("big", 0.5, 2, 0), ("tiny", 0.5, 2, 0)], WEIGHTS)
+    for total, big in ((None, 10), (1_000_000, 500), (0, 0)):
+        rows = mixing.mix(t, w, total).collect()
+        assert sum(x["copies"] for x in rows if x["source"] == "big") == big and sum(x["copies"] for x in rows if x["source"] == "tiny") == (2 if big else 0)
+    made = {x["source"]: x for x in mixing.shares(t, w, mixing.mix(t, w, 1_000_000), 1_000_000).collect()}
+    assert made["tiny"]["short"] and not made["big"]["short"] and made["big"]["wanted_tokens"] == made["big"]["mixed_tokens"] == 500_000
+    assert all(x["copies"] == 2 for x in mixing.mix(t, w, 10**9).collect())
+
+
+def test_shares_are_met_closely(spark):
+    r = random.Random(2)
+    t = table(spark, [(i, s, r.randint(1, 3000)) for i, s in enumerate(["a"] * 300 + ["b"] * 40)])
+    w = spark.createDataFrame([("a", 0.8, 1, 0), ("b", 0.2, 2, 0)], WEIGHTS)
+    for x in mixing.shares(t, w, mixing.mix(t, w)).collect():
+        assert abs(x["reached_share"] - x["target_share"]) < 0.005 and abs(x["mixed_tokens"] - x["wanted_tokens"]) < 1500
+
+
 def test_mix_edges(spark):
     w = spark.createDataFrame([("a", 1.0, 2, 0)], WEIGHTS)
     assert mixing.mix(table(spark, []), w).count() == 0 and mixing.mix(table(spark, [(1, "a", 5)]), w.filter("false")).count() == 0
