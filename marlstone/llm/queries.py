@@ -48,13 +48,23 @@ def p3_voted(spark: SparkSession, d: str) -> DataFrame:
     return _listed(survivors.survivors(*_entities(spark, d), spelled=True))
 
 
+def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "chunks"), table(spark, d, "chunk_limits")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    made = splitting.split(table(spark, d, "chunks"), table(spark, d, "chunk_limits"), with_text=False)
-    return splitting.forced_of(made).select("chunk_id", "forced")
+    return splitting.counted(*_chunks(spark, d))[0].select("chunk_id", "forced").distinct()
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "chunk_limits"))
+    return splitting.split_chunks(*_chunks(spark, d))
+
+
+def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that are split by ranges of bytes: how many ranges and pieces each has."""
+    ranges = splitting.counted(*_chunks(spark, d))[1]
+    made = ranges.groupBy("path", "base").agg(F.first("_key").alias("chunk_id"), F.count("*").alias("n_ranges"), F.sum("n_pieces").alias("n_pieces"), F.max("total").alias("n_bytes"))
+    return made.drop("path", "base").distinct()
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +123,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_decisions, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p6_packed, p6_fill, p7_mixture, p7_full, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_decisions, p3_found, p3_survivors, p3_voted, p5_found, p5_pieces, p5_ranges, p6_packed, p6_fill, p7_mixture, p7_full, p7_shares, p8_found, p8_shares)}
 
 _P3 = r"""
 top AS (SELECT coalesce(max(trust_rank), 0) + 1 worst FROM source_trust),

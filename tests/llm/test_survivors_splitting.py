@@ -80,7 +80,7 @@ def words(r, n):
     return "".join(r.choice(["lorem ", "ipsum. ", "dolor\n", "sit\n\n", "amet\r\n\r\n", "é😀x ", "a" * 30 + " "]) for _ in range(n))
 
 
-@pytest.mark.parametrize("size", [1 << 16, 64])
+@pytest.mark.parametrize("size", [1 << 16, 1])
 def test_pieces(spark, size):
     r = random.Random(9)
     limits = [(" A ", 40, 10), ("b", 25, 0), ("*", 30, 5), (None, 5, 1)]
@@ -91,7 +91,7 @@ def test_pieces(spark, size):
     df = spark.createDataFrame([*rows, *again, rows[5]], CHUNKS)
     lim = spark.createDataFrame(limits, LIMITS)
     cap = lambda i: {"a": (40, 10), "b": (25, 0)}.get((kinds[i] or "").strip().lower(), (30, 5))
-    out = s.split_chunks(df, lim, range_chars=size).collect()
+    out = s.split_chunks(df, lim, range_bytes=size).collect()
     for i, t in texts.items():
         mine = sorted((x for x in out if x["chunk_id"] == f"c{i}"), key=lambda x: x["piece_no"])
         assert [x["piece_no"] for x in mine] == list(range(len(mine))) and mine
@@ -102,16 +102,50 @@ def test_pieces(spark, size):
         assert all(0 < len(x["text"]) <= limit and x["text"] == t[x["start_pos"] : x["start_pos"] + x["n_chars"]] for x in mine)
         assert mine[0]["start_pos"] == 0 and mine[-1]["start_pos"] + mine[-1]["n_chars"] == len(t)
         assert all(b["start_pos"] == a["start_pos"] + a["n_chars"] - over for a, b in zip(mine, mine[1:]))
-        for x in mine[:-1]:
-            if x["cut_kind"] == "space":
-                assert x["text"][-1] in " \t"
+        assert [(x["start_pos"], x["start_pos"] + x["n_chars"], x["cut_kind"]) for x in mine] == s.pieces_of(t, 0, len(t), limit, over)
     for doc in range(3):
         assert sorted(x["chunk_index"] for x in out if x["doc_id"] == doc) == list(range(sum(x["doc_id"] == doc for x in out)))
-    forced = {r_["chunk_id"]: r_["forced"] for r_ in s.forced_of(s.split(df, lim, range_chars=size, with_text=False)).collect()}
+    forced = {r_["chunk_id"]: r_["forced"] for r_ in s.counted(df, lim, range_bytes=size)[0].collect()}
     want = {f"c{i}": int(max(map(len, t.replace("\r", " ").replace("\n", " ").replace("\t", " ").split(" "))) > cap(i)[0]) for i, t in texts.items() if t is not None and len(t) > cap(i)[0]}
     assert forced == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_ranges_agree_with_the_whole(tmp_path, seed):
+    """Whatever the ranges, the stitched pieces are those of the whole text."""
+    r = random.Random(seed)
+    text = words(r, 400) if seed % 3 else "".join(r.choice("ab\u00e9\U0001f600" + " " * (seed > 0)) for _ in range(4000))
+    text = text[:1000] + "q" * 300 + text[1000:]
+    limit, overlap, size = r.choice([(40, 10), (25, 0), (64, 32), (100, 7)]) + (r.choice([997, 1500, 1 << 20]),)
+    data = text.encode()
+    (tmp_path / "x").write_bytes(b"head" + data)
+    out, entry, chars = [], 0, 0
+    for no in range(-(-len(data) // size)):
+        t, first, last, ends = s.load_range(f"file://{tmp_path}/x", 4, len(data), no, size, limit)
+        assert t[first:last] == text[chars : chars + last - first] and (not ends or t[first:] == text[chars:])
+        starts, exits, many = s.boundaries(t, first, last, ends, limit, overlap, no == 0)
+        if entry >= 0:
+            i = starts.index(entry)
+            mine = s.pieces_in(t, first, last, ends, limit, overlap, entry, no == 0)
+            assert len(mine) == many[i]
+            out += [(a - first + chars, z - first + chars, k) for a, z, k in mine]
+            entry = exits[i]
+        chars += last - first
+    assert out == s.pieces_of(text, 0, len(text), limit, overlap) and entry == -1
+
+
+def test_files_are_split_by_ranges(spark, tmp_path):
+    r = random.Random(1)
+    texts = {"a.txt": words(r, 3000), "b.txt": "short", "c.txt": "", "d.txt": "z" * 20_000, "e.txt": "w\u00f6rd " * 4000}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    out = s.split_files(spark, f"file://{tmp_path}", 120, 20, 2000).collect()
+    for name, t in texts.items():
+        mine = sorted((x for x in out if x["path"].endswith(name)), key=lambda x: x["piece_no"])
+        want = s.pieces_of(t, 0, len(t), 120, 20) if t else []
+        assert [(x["start_pos"], x["start_pos"] + x["n_chars"], x["cut_kind"], x["piece"]) for x in mine] == [(a, z, k, t[a:z]) for a, z, k in want]
+
+
 def test_split_nothing(spark):
     lim = spark.createDataFrame([], LIMITS)
     assert s.split_chunks(spark.createDataFrame([], CHUNKS), lim).count() == 0
@@ -124,5 +158,5 @@ def test_split_nothing(spark):
 
 def test_limits_are_not_read_with_a_cross_join(spark):
     df = spark.createDataFrame([chunk(1, "x" * 100)], CHUNKS)
-    plan = s.split(df, spark.createDataFrame([("*", 20, 2)], LIMITS))._jdf.queryExecution().toString()
+    plan = s.counted(df, spark.createDataFrame([("*", 20, 2)], LIMITS))[0]._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
