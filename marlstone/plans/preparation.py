@@ -28,10 +28,30 @@ def p2_items(spark: SparkSession, d: str) -> DataFrame:
     return part("entities", "entity").unionByName(part("value_objects", "value_object"))
 
 
-def p2_typed_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """The leaves of the typed table alone, which SQL can check."""
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of all child tables that do not point to exactly one parent, and keys that are not unique."""
+    return nested.broken_links(_models(spark, d))
+
+
+def _typed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The tables of the typed models alone, which SQL can check."""
     t = table(spark, d, "domain_models").select("model_id", "bounded_contexts").distinct()
-    return nested.model_leaves(nested.flatten(t, "model_id", "bounded_contexts"))
+    return nested.flatten(t, "model_id", "bounded_contexts")
+
+
+def p2_typed_contexts(spark: SparkSession, d: str) -> DataFrame:
+    t = _typed(spark, d)["bounded_contexts"]
+    return t.select("model_id", F.col("ords")[0].alias("context_no"), F.col("f_context_name").alias("context_name"), F.col("f_description").alias("description"), "parent_key", "row_key")
+
+
+def p2_typed_items(spark: SparkSession, d: str) -> DataFrame:
+    made = _typed(spark, d)
+    part = lambda path, kind: made[f"bounded_contexts.ubiquitous_language_{path}"].select("model_id", "parent_key", F.col("ords")[0].alias("context_no"), F.lit(kind).alias("item_kind"), F.col("ords")[1].alias("item_no"), F.col("f_name").alias("name"))
+    return part("entities", "entity").unionByName(part("value_objects", "value_object"))
+
+
+def p2_typed_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return nested.model_leaves(_typed(spark, d))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +78,7 @@ def p4_levels(spark: SparkSession, d: str) -> DataFrame:
     return references.levels(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_typed_leaves, p4_found, p4_report, p4_cascade, p4_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_contexts, p2_items, p2_links, p2_typed_contexts, p2_typed_items, p2_typed_leaves, p4_found, p4_report, p4_cascade, p4_levels)}
 
 _P4 = r"""
 own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY loaded_at DESC NULLS LAST) rn FROM bounded_contexts) WHERE rn = 1),
@@ -82,7 +102,17 @@ inherited AS (SELECT table_name, context_id, dep_no, 'inherited' reason, strftim
 every AS (SELECT *, true direct FROM found UNION ALL SELECT *, false FROM inherited)
 """
 
+_P2 = """
+m AS (SELECT DISTINCT model_id, bounded_contexts FROM domain_models),
+c AS (SELECT model_id, CAST(generate_subscripts(bounded_contexts, 1) - 1 AS INTEGER) cn, unnest(bounded_contexts) c FROM m)
+"""
+
 ORACLES = {
+    "p2_links": "SELECT CAST(0 AS BIGINT) n_without_parent, CAST(0 AS BIGINT) n_with_several, CAST(0 AS BIGINT) n_repeated_keys",
+    "p2_typed_contexts": f"WITH {_P2} SELECT model_id, cn context_no, c.context_name, c.description, CAST(model_id AS VARCHAR) parent_key, model_id || '/bounded_contexts:' || cn row_key FROM c",
+    "p2_typed_items": f"""WITH {_P2}, i AS (SELECT model_id, cn, 'entity' k, CAST(generate_subscripts(c.ubiquitous_language.entities, 1) - 1 AS INTEGER) n, unnest(list_transform(c.ubiquitous_language.entities, lambda x: x.name)) name FROM c
+  UNION ALL SELECT model_id, cn, 'value_object', CAST(generate_subscripts(c.ubiquitous_language.value_objects, 1) - 1 AS INTEGER), unnest(list_transform(c.ubiquitous_language.value_objects, lambda x: x.name)) FROM c)
+SELECT model_id, model_id || '/bounded_contexts:' || cn parent_key, cn context_no, k item_kind, n item_no, name FROM i""",
     "p2_typed_leaves": r"""
 WITH m AS (SELECT DISTINCT model_id, bounded_contexts FROM domain_models),
 c AS (SELECT model_id, generate_subscripts(bounded_contexts, 1) - 1 cn, unnest(bounded_contexts) c FROM m),
