@@ -40,7 +40,12 @@ def group_sizes(counts: np.ndarray, least: int, groups: int = GROUPS) -> list[tu
 
 
 def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """How many of each size to put into one container so that the values' sum is greatest (each size any number of times)."""
+    """How many of each size to put into one container so that the values' sum is greatest (each size any number of times).
+
+    Sizes above a quarter of the capacity, of which three fit at most, are all tried at once; else room by room.
+    """
+    if len(sizes) and int(sizes.min()) * 4 > capacity:
+        return _best_of_three(sizes, values, capacity)
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for c in range(1, capacity + 1):
         fit = np.flatnonzero(sizes <= c)
@@ -60,18 +65,40 @@ def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
     return made, float(best[capacity])
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 120) -> list[tuple[np.ndarray, int]]:
+def _best_of_three(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    s, v = np.append(sizes, 0), np.append(np.maximum(values, 0), 0.0)  # the last one is an empty place
+    room = capacity - s[:, None] - s[None, :]
+    # the best single size for every room that two leave
+    order = np.argsort(s, kind="stable")
+    at = np.searchsorted(s[order], room, side="right") - 1
+    top = np.maximum.accumulate(v[order])
+    where = np.maximum.accumulate(np.where(v[order] == top, np.arange(len(s)), 0))
+    total = np.where(room >= 0, v[:, None] + v[None, :] + top[np.maximum(at, 0)], -1.0)
+    i, j = np.unravel_index(int(np.argmax(total)), total.shape)
+    made = np.zeros(len(sizes), np.int64)
+    for k in (i, j, order[where[at[i, j]]]):
+        if k < len(sizes):
+            made[k] += 1
+    return made, float(total[i, j])
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """(configuration, number of containers) that hold the demand of all sizes exactly or with empty places at the end.
 
     The linear program over configurations is solved by column generation: a basis of as many configurations as
-    sizes, and the best new configuration by dynamic programming; then whole numbers, and the rest greedily.
+    sizes, and the best new configuration for their prices, until none is worth more than a container (or, as prices may
+    go round in circles, as many rounds as there are pairs of sizes brought nothing); then whole numbers, and the rest
+    greedily.
     """
     m = len(sizes)
     if not m:
         return []
     basis = np.diag((capacity // sizes).astype(float))
     amount = demand / np.diag(basis)
-    for _ in range(rounds):
+    least, idle = np.inf, 0
+    while idle <= max(64, m * m):
+        idle = 0 if amount.sum() < least - 1e-9 else idle + 1
+        least = min(least, float(amount.sum()))
         prices = np.linalg.solve(basis.T, np.ones(m))
         column, value = best_configuration(sizes, np.maximum(prices, 0), capacity)
         if value <= 1 + 1e-7:
@@ -157,9 +184,14 @@ def plan_small(counts: np.ndarray, free: np.ndarray, capacity: int) -> tuple[lis
     return runs, new
 
 
-def _ranked(df: DataFrame, group: str) -> DataFrame:
-    """rank from 0 within group, in hashed buckets, so that a group of any size is spread."""
-    out = bucketed_prefix_sum(df.withColumn("_bucket", salt("doc_id", "piece_no", buckets=BUCKETS)), [group], ["_bucket"], [F.col("doc_id"), F.col("piece_no")], F.lit(1).cast("bigint"), "_upto")
+def buckets_for(n: int) -> int:
+    """Hashed buckets in which n rows of one group are ranked: a million rows in each at most, about."""
+    return max(BUCKETS, n // 1_000_000)
+
+
+def _ranked(df: DataFrame, group: str, n: int) -> DataFrame:
+    """rank from 0 within group, in hashed buckets, so that a group of any size, n rows at most, is spread."""
+    out = bucketed_prefix_sum(df.withColumn("_bucket", salt("doc_id", "piece_no", buckets=buckets_for(n))), [group], ["_bucket"], [F.col("doc_id"), F.col("piece_no")], F.lit(1).cast("bigint"), "_upto")
     return out.withColumn("rank", F.col("_upto") - 1).drop("_bucket", "_upto")
 
 
@@ -217,7 +249,7 @@ def pack(tokens: DataFrame, capacity: int, most: int = 1 << 20) -> DataFrame:
         of_size = F.lit(-1)
         for g, (low, high, _) in enumerate(groups):
             of_size = F.when(F.col("n_tokens").between(low, high), g).otherwise(of_size)
-        large = _ranked(items.filter(F.col("n_tokens") >= groups[-1][0]).withColumn("grp", of_size.cast("int")), "grp")
+        large = _ranked(items.filter(F.col("n_tokens") >= groups[-1][0]).withColumn("grp", of_size.cast("int")), "grp", int(counts.sum()))
         k, s, f, e = _columns(runs, 0, 1, 3, 4)
         large = cut(_placed(large, k, s, f, e, np.zeros(len(k), np.int64), "grp").select(*columns, F.col("place").alias("container_no")), "large")
         parts.append(large)
@@ -229,17 +261,18 @@ def pack(tokens: DataFrame, capacity: int, most: int = 1 << 20) -> DataFrame:
     free = _histogram(used, "free", capacity + 1) if used is not None else np.zeros(capacity + 1, np.int64)
     small_runs, n_new = plan_small(small_counts, free, capacity)
     if small_runs:
-        small = _ranked(items.filter(F.col("n_tokens") < smallest), "n_tokens")
+        small = _ranked(items.filter(F.col("n_tokens") < smallest), "n_tokens", int(counts.sum()))
         k, s, c, f, e = _columns(small_runs, 0, 1, 3, 4, 5)
         small = _placed(small, k, s, f, e, c, "n_tokens")
         parts.append(small.filter("cls = -1").select(*columns, (F.col("place") + n_large).alias("container_no")))
         if used is not None:
-            open_ = bucketed_prefix_sum(used.filter("free > 0").withColumn("_bucket", salt("container_no", buckets=BUCKETS)), ["free"], ["_bucket"], [F.col("container_no")], F.lit(1).cast("bigint"), "_upto")
+            open_ = bucketed_prefix_sum(used.filter("free > 0").withColumn("_bucket", salt("container_no", buckets=buckets_for(n_large))), ["free"], ["_bucket"], [F.col("container_no")], F.lit(1).cast("bigint"), "_upto")
             open_ = open_.select(F.col("free").alias("cls"), (F.col("_upto") - 1).alias("place"), "container_no")
             parts.append(small.filter("cls >= 0").join(open_, ["cls", "place"]).select(*columns, "container_no"))
     # whole pieces, numbered after all others
     full = base.filter(F.col("n_all") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0), (whole - 1))).alias("piece_no"))
-    full = _ranked(full.withColumn("one", F.lit(0)), "one").select("doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_token"), F.lit(capacity).alias("n_tokens"), (F.col("rank") + n_large + n_new).alias("container_no"))
+    n_full = base.agg(F.coalesce(F.sum(F.floor(F.col("n_all") / capacity)), F.lit(0))).first()[0]  # one number
+    full = _ranked(full.withColumn("one", F.lit(0)), "one", int(n_full)).select("doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_token"), F.lit(capacity).alias("n_tokens"), (F.col("rank") + n_large + n_new).alias("container_no"))
     out = none.unionByName(full)
     for p in parts:
         out = out.unionByName(p)
