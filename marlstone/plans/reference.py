@@ -79,22 +79,22 @@ def _queries(e: DataFrame) -> DataFrame:
     return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _near(spark: SparkSession, d: str, k: int, where: str = "true") -> DataFrame:
+def near(spark: SparkSession, d: str, k: int, where: str = "true") -> DataFrame:
     e = table(spark, d, "embeddings")
     return vector.knn(_queries(e), e.filter(where).select(F.col("vec_id").alias("item_id"), "embedding"), k, keep_self=False)
 
 
 def r02_knn(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d, 10).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    return near(spark, d, 10).select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
 def r04_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d, 5, "label = 1").select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+    return near(spark, d, 5, "label = 1").select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
 
 
 def g17_knn_label_accuracy(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    hits = _near(spark, d, 3).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").join(e.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
+    hits = near(spark, d, 3).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").join(e.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
     per = hits.groupBy("query_id").agg(F.bool_or((F.col("rank") == 1) & (F.col("own") == F.col("label"))).alias("top1"), F.bool_or(F.col("own") == F.col("label")).alias("top3"))
     return per.agg(F.count("*").alias("total"), F.count_if("top1").alias("top1_correct"), F.count_if("top3").alias("top3_correct"))
 
@@ -130,7 +130,7 @@ def r03_sources(spark: SparkSession, d: str) -> DataFrame:
 def r07_attach(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours attached to each query row as an ordered array, flattened again."""
     e = table(spark, d, "embeddings")
-    made = retrieval.attach(e.select(F.col("vec_id").alias("query_id"), "label"), _near(spark, d, 3).select("query_id", "rank", "item_id"))
+    made = retrieval.attach(e.select(F.col("vec_id").alias("query_id"), "label"), near(spark, d, 3).select("query_id", "rank", "item_id"))
     return made.select("query_id", "label", (F.size("sources") > 0).alias("has_sources"), F.posexplode_outer(F.transform("sources", lambda s: s["item_id"])).alias("pos", "item_id"))
 
 
@@ -298,14 +298,14 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
+def calls(spark: SparkSession, d: str) -> DataFrame:
     """Documents as calls: a stage for each source, text in, project name out."""
     t = table(spark, d, "documents")
     made = t.select(F.col("created_at").alias("timestamp"), F.coalesce(F.lower(F.trim("source")), F.lit("none")).alias("stage"), F.lit("read").alias("operation"), metrics.token_estimate(F.col("text")).alias("prompt_tokens"), metrics.token_estimate(F.col("doc_name")).alias("completion_tokens"))
     return metrics.normalised_calls(made)
 
 
-def _validations(spark: SparkSession, d: str) -> DataFrame:
+def validations(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     bad = F.when(F.col("event_type") == "error", F.array(F.col("event_type"))).otherwise(F.array().cast("array<string>"))
     return e.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("filename"), F.length("props").cast("bigint").alias("file_size_chars"), metrics.token_estimate(F.col("props")).alias("code_file_tokens"), F.col("value").alias("validation_time_ms"), F.size(bad).cast("bigint").alias("violations_count"), bad.alias("violation_types"), (F.col("value") > 50).alias("has_sources"))
@@ -320,11 +320,11 @@ def k05_sorted_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g03_stage_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.usage(_calls(spark, d)).select("stage", F.col("is_total").cast("int").alias("is_total"), "call_count", "prompt_tokens", "completion_tokens", "total_tokens", F.col("estimated_cost").cast("double").alias("estimated_cost"))
+    return metrics.usage(calls(spark, d)).select("stage", F.col("is_total").cast("int").alias("is_total"), "call_count", "prompt_tokens", "completion_tokens", "total_tokens", F.col("estimated_cost").cast("double").alias("estimated_cost"))
 
 
 def g04_cost(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.totals(_calls(spark, d)).withColumn("total_cost", F.col("total_cost").cast("double"))
+    return metrics.totals(calls(spark, d)).withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
 def g08_conditional_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -337,19 +337,27 @@ def g10_running_avg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g11_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.validation_summary(_validations(spark, d)).select("total_validations", "files_with_violations", "files_without_violations", "total_violations_found", "total_code_size_chars", "total_code_tokens", "validations_with_sources", "violation_rate_percent", "avg_violations_per_file")
+    return metrics.validation_summary(validations(spark, d)).select("total_validations", "files_with_violations", "files_without_violations", "total_violations_found", "total_code_size_chars", "total_code_tokens", "validations_with_sources", "violation_rate_percent", "avg_violations_per_file")
 
 
 def g13_combined(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.combined(_calls(spark, d), _validations(spark, d)).select("total_api_calls", "total_validations", "avg_tokens_per_validation", "avg_input_tokens", "avg_output_tokens")
+    return metrics.combined(calls(spark, d), validations(spark, d)).select("total_api_calls", "total_validations", "avg_tokens_per_validation", "avg_input_tokens", "avg_output_tokens")
 
 
 def g12_report(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.validation_report(_validations(spark, d))
+    """What the report says: the summary's counts and the breakdown, read from its JSON."""
+    report = metrics.validation_report(validations(spark, d))
+    said = lambda path, kind: F.get_json_object("report", f"$.{path}").cast(kind)
+    counts = ("total_validations", "files_with_violations", "total_violations_found", "total_code_size_chars", "validations_with_sources")
+    return report.select(*[said(f"summary.{c}", "bigint").alias(c) for c in counts], said("summary.violation_rate_percent", "double").alias("violation_rate_percent"), said("violation_breakdown.error", "bigint").alias("n_error"))
 
 
 def g05_report(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.usage_report(_calls(spark, d))
+    """What the report says: the totals and each stage, read from its JSON."""
+    report = metrics.usage_report(calls(spark, d))
+    stages = F.from_json(F.get_json_object("report", "$.stage_breakdown"), "array<struct<stage:string,call_count:bigint,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,estimated_cost:double>>")
+    total = F.get_json_object("report", "$.summary.total_tokens").cast("bigint").alias("all_tokens")
+    return report.select(total, F.explode(stages).alias("s")).select("all_tokens", "s.*")
 
 
 def g15_timings(spark: SparkSession, d: str) -> DataFrame:

@@ -21,13 +21,13 @@ e AS (SELECT project, e.name, e.synonyms_to_avoid s FROM (SELECT project, unnest
 v AS (SELECT project, {key('v.name')} vo_key FROM (SELECT project, unnest(u.value_objects) v FROM n) WHERE v.name IS NOT NULL)
 """
 
-_CALLS = """
+CALLS_CTE = """
 calls AS (SELECT coalesce(lower(trim(source)), 'none') stage, coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0) p, coalesce(CAST(ceil(length(doc_name) / 4.0) AS BIGINT), 0) q FROM documents)
 """
-_COST = "CAST(round(CAST((CAST(sum(p) AS DECIMAL(20,0)) * 0.30 + CAST(sum(q) AS DECIMAL(20,0)) * 2.50) AS DECIMAL(28,2)) / 1000000.0, 6) AS DOUBLE)"
+COST = "CAST(round(CAST((CAST(sum(p) AS DECIMAL(20,0)) * 0.30 + CAST(sum(q) AS DECIMAL(20,0)) * 2.50) AS DECIMAL(28,2)) / 1000000.0, 6) AS DOUBLE)"
 
 
-def _knn(k: int, where: str = "true") -> str:
+def knn_sql(k: int, where: str = "true") -> str:
     return f"""
 s AS (SELECT q.vec_id query_id, e.vec_id item_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) score
       FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND ({where})),
@@ -64,12 +64,12 @@ UNION ALL SELECT doc_id, 0, '1', 'Document Content', CAST(length(text) AS INTEGE
   FROM w WHERE z < length(text))
 SELECT doc_id, greatest(count(*) FILTER (z > 0), 1) n_windows, CAST(sum(z - a) AS BIGINT) n_chars, CAST(max(z - a) AS INTEGER) longest FROM w GROUP BY 1""",
     "s_documents_by_source": "SELECT lower(trim(source)) source, count(*) n, CAST(sum(n_chars) AS BIGINT) n_chars FROM documents GROUP BY 1",
-    "r02_knn": f"WITH {_knn(10)} SELECT query_id, item_id, rank, round(score, 4) score FROM k",
-    "r04_knn_filtered": f"WITH {_knn(5, 'e.label = 1')} SELECT query_id, item_id, rank, round(score, 4) score FROM k",
-    "g17_knn_label_accuracy": f"""WITH {_knn(3)}, h AS (SELECT query_id, bool_or(rank = 1 AND a.label = b.label) top1, bool_or(a.label = b.label) top3 FROM k JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = item_id GROUP BY 1)
+    "r02_knn": f"WITH {knn_sql(10)} SELECT query_id, item_id, rank, round(score, 4) score FROM k",
+    "r04_knn_filtered": f"WITH {knn_sql(5, 'e.label = 1')} SELECT query_id, item_id, rank, round(score, 4) score FROM k",
+    "g17_knn_label_accuracy": f"""WITH {knn_sql(3)}, h AS (SELECT query_id, bool_or(rank = 1 AND a.label = b.label) top1, bool_or(a.label = b.label) top3 FROM k JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = item_id GROUP BY 1)
 SELECT count(*) total, count(*) FILTER (top1) top1_correct, count(*) FILTER (top3) top3_correct FROM h""",
     "r05_query_text": r"""SELECT doc_id, array_to_string(list_append(regexp_extract_all(text, '[''"]([^''"]+)[''"]', 1), text), ' ') query FROM documents WHERE text IS NOT NULL""",
-    "r07_attach": f"""WITH {_knn(3)} SELECT e.vec_id query_id, e.label, k.item_id IS NOT NULL has_sources, rank - 1 pos, item_id FROM embeddings e LEFT JOIN k ON k.query_id = e.vec_id""",
+    "r07_attach": f"""WITH {knn_sql(3)} SELECT e.vec_id query_id, e.label, k.item_id IS NOT NULL has_sources, rank - 1 pos, item_id FROM embeddings e LEFT JOIN k ON k.query_id = e.vec_id""",
     "r08_stats": "SELECT 'chunks' collection, count(*) n_chunks, count(DISTINCT doc_id) n_docs, 'doc_id,doc_name,section_name' metadata_fields FROM chunks",
     "k01_reindex": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'again' ELSE lang END lang, CAST(length(text) AS INTEGER) n FROM documents WHERE doc_id % 10 <> 0 OR length(text) > 0",
     "v01_synonyms": f"""WITH {_MODELS}, s AS (SELECT DISTINCT project, name entity, t term, {key('t')} k FROM (SELECT project, name, unnest(s) t FROM e) WHERE t IS NOT NULL AND {strip('t')} <> '')
@@ -88,15 +88,37 @@ SELECT doc_id, CAST(no AS INTEGER) no, sentence FROM k WHERE no < 50""",
 FROM (VALUES (1, '429 quota exceeded, retry in 37.5s', 0), (2, 'Quota exceeded', 2), (3, 'quota', 9), (4, 'timeout', 1), (5, '429 retry in 3', 0)) t(id, m, r)""",
     "g09_type_histogram": "SELECT event_type violation_type, count(*) n FROM events GROUP BY 1",
     "k05_sorted_counts": "SELECT event_type, count(*) n FROM events GROUP BY 1 ORDER BY n DESC, event_type",
-    "g03_stage_rollup": f"""WITH {_CALLS} SELECT stage, CAST(grouping(stage) AS INTEGER) is_total, count(*) call_count, CAST(coalesce(sum(p), 0) AS BIGINT) prompt_tokens, CAST(coalesce(sum(q), 0) AS BIGINT) completion_tokens, CAST(coalesce(sum(p + q), 0) AS BIGINT) total_tokens, {_COST} estimated_cost FROM calls GROUP BY ROLLUP (stage)""",
-    "g04_cost": f"""WITH {_CALLS} SELECT count(*) total_api_calls, CAST(sum(p) AS BIGINT) total_prompt_tokens, CAST(sum(q) AS BIGINT) total_completion_tokens, CAST(sum(p + q) AS BIGINT) total_tokens, {_COST} total_cost FROM calls""",
+    "g03_stage_rollup": f"""WITH {CALLS_CTE} SELECT stage, CAST(grouping(stage) AS INTEGER) is_total, count(*) call_count, CAST(coalesce(sum(p), 0) AS BIGINT) prompt_tokens, CAST(coalesce(sum(q), 0) AS BIGINT) completion_tokens, CAST(coalesce(sum(p + q), 0) AS BIGINT) total_tokens, {COST} estimated_cost FROM calls GROUP BY ROLLUP (stage)""",
+    "g05_report": f"""WITH {CALLS_CTE} SELECT (SELECT CAST(sum(p + q) AS BIGINT) FROM calls) all_tokens, stage, count(*) call_count, CAST(sum(p) AS BIGINT) prompt_tokens, CAST(sum(q) AS BIGINT) completion_tokens, CAST(sum(p + q) AS BIGINT) total_tokens, {COST} estimated_cost FROM calls GROUP BY stage""",
+    "g12_report": """SELECT count(*) total_validations, count(*) FILTER (event_type = 'error') files_with_violations, count(*) FILTER (event_type = 'error') total_violations_found, CAST(sum(length(props)) AS BIGINT) total_code_size_chars,
+  count(*) FILTER (value > 50) validations_with_sources, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 2) violation_rate_percent, count(*) FILTER (event_type = 'error') n_error FROM events""",
+    "m01_scout": rf"""WITH RECURSIVE w(doc_id, text, a, z) AS (
+  SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NOT NULL AND {strip('text')} <> ''
+  UNION ALL
+  SELECT doc_id, text, z, CASE WHEN z + 10000 < length(text) AND instr(reverse(substring(text, z + 1, 10000)), '.') > 0 AND 10000 - instr(reverse(substring(text, z + 1, 10000)), '.') > 0
+      THEN z + 10001 - instr(reverse(substring(text, z + 1, 10000)), '.') ELSE least(z + 10000, length(text)) END
+  FROM w WHERE z < length(text)),
+p AS (SELECT doc_id, a, unnest(string_split(substring(text, a + 1, z - a), '.')) x FROM w WHERE z > a),
+n AS (SELECT doc_id, a, least(50, count(*) FILTER (length({strip('x')}) > 20)) n FROM p GROUP BY 1, 2)
+SELECT doc_id, CAST(greatest(sum(n), 1) AS BIGINT) n_sentences FROM n GROUP BY 1""",
+    "m05_synthesise": f"SELECT doc_id, 'Generated Domain Model' project_name, 0 n_contexts, true is_fallback FROM documents WHERE text IS NOT NULL AND {strip('text')} <> ''",
+    "m11_lenient_json": f"SELECT DISTINCT model_id, json_valid(payload) OR json_valid({strip("replace(replace(payload, '```json', ''), '```', '')")}) is_json FROM model_payloads WHERE payload IS NOT NULL",
+    "r06_summary": rf"""WITH c AS (SELECT DISTINCT chunk_id, string_split(text, E'\n') p, text FROM chunks),
+b AS (SELECT chunk_id, text, CASE WHEN len(p) > 2 THEN p[3:] ELSE p END l FROM c),
+s AS (SELECT chunk_id, text, l, array_to_string(l, E'\n') t FROM b)
+SELECT chunk_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(
+  CASE WHEN regexp_matches(t, '(?i)Important:\s*([^\n]+?)(?:\.|$)') THEN left({strip(r"regexp_extract(t, '(?i)Important:\s*([^\n]+?)(?:\.|$)', 1)")}, 200) END,
+  CASE WHEN regexp_matches(t, '(?i)([^\n]{{0,50}}(?:should|must)\s+NOT[^\n]+?)(?:\.|$)') THEN left({strip(r"regexp_extract(t, '(?i)([^\n]{{0,50}}(?:should|must)\s+NOT[^\n]+?)(?:\.|$)', 1)").replace('{{0,50}}', '{0,50}')}, 200) END,
+  CASE WHEN regexp_matches(t, '(?i)([^\n]{{0,30}}must[^\n]+?)(?:\.|$)') THEN left({strip(r"regexp_extract(t, '(?i)([^\n]{{0,30}}must[^\n]+?)(?:\.|$)', 1)").replace('{{0,30}}', '{0,30}')}, 200) END,
+  left(list_filter(list_transform(l, lambda x: {strip('x')}), lambda x: length(x) > 20 AND NOT regexp_matches(x, '^[-*#]'))[1], 200), 'Source reference') END summary FROM s""",
+    "g04_cost": f"""WITH {CALLS_CTE} SELECT count(*) total_api_calls, CAST(sum(p) AS BIGINT) total_prompt_tokens, CAST(sum(q) AS BIGINT) total_completion_tokens, CAST(sum(p + q) AS BIGINT) total_tokens, {COST} total_cost FROM calls""",
     "g08_conditional_counts": "SELECT user_id, count(*) FILTER (event_type = 'error') n_error, count(*) FILTER (event_type <> 'error') n_other, round(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 4) error_percent FROM events GROUP BY 1",
     "g10_running_avg": """SELECT event_id, count(value) OVER w running_n, round(CAST(sum(CAST(value AS DECIMAL(38,9))) OVER w AS DOUBLE), 4) running_sum,
   CAST(floor(CAST(sum(CAST(value AS DECIMAL(38,9))) OVER w AS DOUBLE) / count(value) OVER w * 10000) AS BIGINT) running_avg_e4 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     "g11_summary": """SELECT count(*) total_validations, count(*) FILTER (event_type = 'error') files_with_violations, count(*) FILTER (event_type <> 'error') files_without_violations, count(*) FILTER (event_type = 'error') total_violations_found,
   CAST(sum(length(props)) AS BIGINT) total_code_size_chars, CAST(sum(coalesce(CAST(ceil(length(props) / 4.0) AS BIGINT), 0)) AS BIGINT) total_code_tokens, count(*) FILTER (value > 50) validations_with_sources,
   round(100.0::DOUBLE * count(*) FILTER (event_type = 'error') / count(*), 2) violation_rate_percent, round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 2) avg_violations_per_file FROM events""",
-    "g13_combined": f"""WITH {_CALLS}, n AS (SELECT count(*) n FROM events) SELECT (SELECT count(*) FROM calls) total_api_calls, n total_validations, round((SELECT sum(p + q) FROM calls)::DOUBLE / n, 2) avg_tokens_per_validation,
+    "g13_combined": f"""WITH {CALLS_CTE}, n AS (SELECT count(*) n FROM events) SELECT (SELECT count(*) FROM calls) total_api_calls, n total_validations, round((SELECT sum(p + q) FROM calls)::DOUBLE / n, 2) avg_tokens_per_validation,
   round((SELECT sum(p) FROM calls)::DOUBLE / n, 2) avg_input_tokens, round((SELECT sum(q) FROM calls)::DOUBLE / n, 2) avg_output_tokens FROM n""",
     "g15_timings": "SELECT user_id test_id, count(*) iterations, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 4) avg_time_ms FROM events GROUP BY 1",
     "g16_section_match": r"""SELECT DISTINCT section_number, section_name, t <> '' AND (t = section_number OR starts_with(t, section_number || '.')) matches

@@ -5,10 +5,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import preparation, reference
+from marlstone.plans import interface, preparation, reference
 
 D = "/root/testdata/sf0.001"
-CORE = {**preparation.QUERIES, **reference.QUERIES}
+CORE = {**preparation.QUERIES, **reference.QUERIES, **interface.QUERIES}
 pytestmark = pytest.mark.skipif(not Path(D).exists(), reason="no test tables")
 
 
