@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.functions.ranks import bucketed_prefix_sums
+
 # --- fixed values: prices in dollars for a million tokens, and the projected use ---
 INPUT_PRICE, OUTPUT_PRICE, CACHED_PRICE = "0.30", "2.50", "0.03"
 A_DAY, DAYS = 1000, 30
@@ -48,19 +49,25 @@ def totals(calls: DataFrame) -> DataFrame:
     return n.withColumn("total_cost", cost(F.col("total_prompt_tokens"), F.col("total_completion_tokens")))
 
 
-def usage_report(calls: DataFrame, detailed: bool = False) -> DataFrame:
-    """One row with a JSON report: summary, cost, stages in order of first use, and the calls if detailed."""
+def usage_report(calls: DataFrame) -> DataFrame:
+    """One row with a JSON report: summary, cost, and stages in order of first use. The calls are history's rows."""
     stages = calls.groupBy("stage").agg(F.count("*").alias("call_count"), *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")], F.min("timestamp").alias("first"))
     stages = stages.withColumn("estimated_cost", cost(F.col("prompt_tokens"), F.col("completion_tokens")))
     listed = stages.agg(F.array_sort(F.collect_list(F.struct("first", "stage", "call_count", "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost"))).alias("stages"))  # a row for each stage
     one = totals(calls).withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one")
     fields = [F.struct("total_api_calls", "total_prompt_tokens", "total_completion_tokens", "total_tokens").alias("summary"), F.struct("total_cost", F.lit("USD").alias("currency")).alias("cost_estimation"), F.col("stages").alias("stage_breakdown")]
-    if detailed:
-        history = calls.agg(F.array_sort(F.collect_list(F.struct("timestamp", "stage", "operation", "prompt_tokens", "completion_tokens", "total_tokens"))).alias("history")).withColumn("_one", F.lit(1))
-        one, fields = one.join(history, "_one"), [*fields, F.col("history").alias("call_history")]
     return one.select(F.to_json(F.struct(*fields)).alias("report"))
 
 
+CALL_FIELDS = ("timestamp", "stage", "operation", "prompt_tokens", "completion_tokens", "total_tokens")
+VALIDATION_FIELDS = ("timestamp", "filename", "file_size_chars", "code_file_tokens", "validation_time_ms", "violations_count", "violation_types", "has_sources")
+
+
+def history(log: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The rows of a log for a detailed report, a JSON object each: however long a log is, no row holds all of it."""
+    return log.select(F.to_json(F.struct(*[c for c in fields if c in log.columns])).alias("entry"))
+
+
 def recorded(files: DataFrame) -> DataFrame:
     """Validations from files with violations(array<struct<type,...>>): counts and types; a missing type is 'Unknown'.
     Files that failed before detection (syntax, no model) are not recorded."""
@@ -96,25 +103,23 @@ def validation_summary(v: DataFrame) -> DataFrame:
     )
 
 
-def validation_report(v: DataFrame, detailed: bool = False) -> DataFrame:
-    """One row with a JSON report: summary, breakdown by type, and the history if detailed."""
+def validation_report(v: DataFrame) -> DataFrame:
+    """One row with a JSON report: summary and breakdown by type. The validations are history's rows."""
     one = validation_summary(v)
     names = one.columns
     types = type_histogram(v).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("violation_type", "n")))).alias("violation_breakdown"))  # a row for each type
     both = one.withColumn("_one", F.lit(1)).join(types.withColumn("_one", F.lit(1)), "_one")
     fields = [F.struct(*names).alias("summary"), F.col("violation_breakdown")]
-    if detailed:
-        columns = [c for c in ("timestamp", "filename", "file_size_chars", "code_file_tokens", "validation_time_ms", "violations_count", "violation_types", "has_sources") if c in v.columns]
-        both = both.join(v.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("h")).withColumn("_one", F.lit(1)), "_one")
-        fields.append(F.col("h").alias("validation_history"))
     return both.select(F.to_json(F.struct(*fields)).alias("report"))
 
 
 def running(df: DataFrame, group: list[str], at: list[str], value: str) -> DataFrame:
-    """Running sum and mean of value within group in the order of at, exact in decimals."""
-    w = W.partitionBy(*group).orderBy(*at).rowsBetween(W.unboundedPreceding, 0)
+    """Running sum and mean of value within group in the order of at, exact in decimals; the first of at is a time, by
+    whose days a group of any size is spread. Null values count for nothing."""
     v = F.col(value).cast(EXACT)
-    return df.withColumn("running_sum", F.sum(v).over(w)).withColumn("running_n", F.count(v).over(w)).withColumn("running_avg", F.try_divide(F.col("running_sum"), F.col("running_n")))
+    rows = bucketed_prefix_sums(df.withColumn("_day", F.to_date(at[0])), group, ["_day"], [F.col(c) for c in at], {"running_sum": v, "running_n": F.when(v.isNotNull(), 1).otherwise(0)})
+    rows = rows.drop("_day").withColumn("running_sum", F.when(F.col("running_n") > 0, F.col("running_sum")))
+    return rows.withColumn("running_avg", F.try_divide(F.col("running_sum"), F.col("running_n")))
 
 
 def combined(calls: DataFrame, validations: DataFrame, a_day: int = A_DAY, days: int = DAYS) -> DataFrame:

@@ -52,12 +52,22 @@ def sweep(candidates: DataFrame, refs: DataFrame, keys: list[str], start: str, e
     return summed.select("_ref.*", "n_live", "n_known", "n_all")
 
 
-def members(df: DataFrame, table: str, key: str, columns: list[str], listed: str) -> DataFrame:
+def members(df: DataFrame, no: int, key: str, columns: list[str], listed: str) -> DataFrame:
     """The non-blank members of a list column with their numbers: all members are counted, from 0."""
-    return df.select(F.lit(table).alias("table_name"), F.col(key).alias("context_id"), *columns, F.posexplode(listed).alias("dep_no", "dep")).filter(~is_blank(F.col("dep")))
+    return df.select(F.lit(no).alias("table_no"), F.col(key).alias("context_id"), *columns, F.posexplode(listed).alias("dep_no", "dep")).filter(~is_blank(F.col("dep")))
 
 
-REF, RECORD, NAME = ["table_name", "context_id", "dep_no", "registered_at"], ["table_name", "context_id"], ["scope", "name"]
+TABLES = ("bounded_contexts", "shared_contexts")
+REF, RECORD, NAME = ["table_no", "context_id", "dep_no", "registered_at"], ["table_no", "context_id"], ["name_a", "name_b"]
+
+
+def _name_key(scope: Column, name: Column) -> list[Column]:
+    """A scope's name as 128 bits of hash: the rows of sweeps and rounds hold numbers only."""
+    return [F.xxhash64(scope, name).alias("name_a"), F.xxhash64(name, F.lit("|"), scope).alias("name_b")]
+
+
+def _table_name() -> Column:
+    return F.when(F.col("table_no") == 0, TABLES[0]).otherwise(TABLES[1]).alias("table_name")
 
 
 def registry(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,13 +81,12 @@ def registry(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFra
     columns = ["context_id", "context_name", "allowed_dependencies", "registered_at", "removed_at"]
     own = cut(latest_by(contexts.select("model_id", *columns, "loaded_at"), "context_id", "loaded_at").select("model_id", *columns), "latest")
     common = shared.select(F.lit(None).cast("bigint").alias("model_id"), *columns).distinct()
-    bears = lambda df, table, scope: df.select(F.lit(table).alias("table_name"), "context_id", scope.alias("scope"), letters_digits(F.col("context_name")).alias("name"), "registered_at", "removed_at").filter("length(name) > 0")
-    bearers = bears(own.filter("model_id IS NOT NULL"), "bounded_contexts", F.col("model_id").cast("string")).unionByName(bears(common, "shared_contexts", F.lit("*")))
-    refs = members(own, "bounded_contexts", "context_id", ["model_id", "registered_at"], "allowed_dependencies").unionByName(
-        members(common, "shared_contexts", "context_id", ["model_id", "registered_at"], "allowed_dependencies")
-    )
+    name = letters_digits(F.col("context_name"))
+    bears = lambda df, no, scope: df.filter(F.length(name) > 0).select(F.lit(no).alias("table_no"), "context_id", *_name_key(scope, name), "registered_at", "removed_at")
+    bearers = bears(own.filter("model_id IS NOT NULL"), 0, F.col("model_id").cast("string")).unionByName(bears(common, 1, F.lit("*")))
+    refs = members(own, 0, "context_id", ["model_id", "registered_at"], "allowed_dependencies").unionByName(members(common, 1, "context_id", ["model_id", "registered_at"], "allowed_dependencies"))
     scopes = F.filter(F.array(F.col("model_id").cast("string"), F.lit("*")), lambda s: s.isNotNull())
-    return bearers, refs.select(*REF, letters_digits(F.col("dep")).alias("name"), F.explode(scopes).alias("scope"))
+    return bearers, refs.select(*REF, letters_digits(F.col("dep")).alias("name"), F.explode(scopes).alias("scope")).select(*REF, *_name_key(F.col("scope"), F.col("name")))
 
 
 def resolved(bearers: DataFrame, links: DataFrame) -> DataFrame:
@@ -121,12 +130,12 @@ def orphans(contexts: DataFrame, shared: DataFrame) -> DataFrame:
         partly = part.filter("lost < open").select(*REF, "lost")
         last = records.add(part.filter("lost >= open").select(*RECORD).distinct().join(records.all(), RECORD, "left_anti"))
     found = refs.all().filter("lost >= open")
-    return found.select(*REF, "reason", F.date_format("registered_at", "yyyy-MM").alias("period"), F.col("round").alias("depth"), (F.col("round") == 0).alias("direct"))
+    return found.select(_table_name(), "context_id", "dep_no", "registered_at", "reason", F.date_format("registered_at", "yyyy-MM").alias("period"), F.col("round").alias("depth"), (F.col("round") == 0).alias("direct"))
 
 
 def states(found: DataFrame) -> DataFrame:
     """(table_name, context_id, depth, direct): every record with an orphan, the smallest depth counting."""
-    return found.groupBy(*RECORD).agg(F.min("depth").alias("depth"), F.bool_or("direct").alias("direct"))
+    return found.groupBy("table_name", "context_id").agg(F.min("depth").alias("depth"), F.bool_or("direct").alias("direct"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -139,5 +148,5 @@ def levels(found: DataFrame) -> DataFrame:
 
     A null time is a period of its own; months without orphans give no rows.
     """
-    one = found.groupBy(*RECORD, "period").agg(F.count_if("direct").alias("d"), F.count_if(~F.col("direct")).alias("i"))
+    one = found.groupBy("table_name", "context_id", "period").agg(F.count_if("direct").alias("d"), F.count_if(~F.col("direct")).alias("i"))
     return one.groupBy("table_name", "period").agg(F.sum("d").alias("n_direct_refs"), F.sum("i").alias("n_inherited_refs"), F.count_if(F.col("d") > 0).alias("n_direct"), F.count_if(F.col("d") == 0).alias("n_inherited"))

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.strings import is_blank, letters_digits
 from marlstone.operators.code import identifiers, rows_of
+from marlstone.session import cut
 
 # --- fixed values: allowed endings, primitive types, emitting calls, forms of names ---
 ALLOWED = ("repository", "service", "factory", "gateway", "aggregate", "specification")
 PRIMITIVES = ("str", "int", "float", "bool", "bytes", "complex", "dict", "list", "tuple")
 EMITS = r"(?i)(emit|publish|trigger)\w*$"
 PASCAL, SNAKE = r"^[A-Z][A-Za-z0-9]*$", r"^_{0,2}[a-z][a-z0-9_]*$"
-MOST_WORDS = 6
 # --- end of fixed values ---
 
 
@@ -28,12 +28,12 @@ def words(name: Column) -> Column:
     return F.filter(F.split(F.lower(split), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def word_runs(name: Column, most: int = MOST_WORDS) -> Column:
-    """All runs of up to most neighbouring words, joined: what a term may match."""
+def word_runs(name: Column) -> Column:
+    """All runs of neighbouring words, joined: what a term may match."""
     w = words(name)
     n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), ""))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(runs))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), "")))
+    return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
 
 
 def pascal(snake: Column) -> Column:
@@ -87,6 +87,8 @@ def violations(parsed: DataFrame, models: DataFrame, key: str = "submission_id",
     Files that do not parse have one SyntaxError and files without a model one ConfigError, before any other. Names
     that equal an entity or value object are never flagged for terms; null filenames are not checked as names.
     """
+    # written once: every rule below reads its relations from them
+    models = cut(models.select("project_name", "bounded_contexts", "global_rules"), "latest-models")
     rel = model_relations(models)
     keep = [key, filename, project]
     has_model = parsed.join(models.select(F.col("project_name").alias("_p")).distinct(), F.col(project) == F.col("_p"), "left").withColumn("_known", F.col("_p").isNotNull()).drop("_p")

@@ -21,6 +21,7 @@ from marlstone.schemas import MODEL
 
 # --- fixed values: limits and fallbacks of the stages ---
 TRIES, LEAST_DELAY, LEAST_SENTENCE, MOST_SENTENCES = 5, 6.0, 20, 50
+FIRST_WAIT, LEAST_WAIT, MOST_WAIT, FINISHED = 15.0, 10.0, 300.0, "STOP"
 CONTEXT_CAP, SPECIALIST_CAP, FIRST_CAP = 50_000, 60_000, 1000
 DEFAULT_CONTEXT = "CoreDomain"
 FALLBACK = {
@@ -44,13 +45,13 @@ def backoff(message: Column, retry: Column) -> Column:
     most; 0 for other errors."""
     quota = F.contains(message, F.lit("429")) | F.contains(F.lower(message), F.lit("quota"))
     asked = F.nullif(F.regexp_extract(message, r"retry in (\d+\.?\d*)", 1), F.lit("")).cast("double")
-    wait = F.when(asked.isNotNull(), F.greatest(asked, F.lit(10.0))).otherwise(F.least(F.lit(15.0) * F.pow(F.lit(2.0), retry), F.lit(300.0)))
+    wait = F.when(asked.isNotNull(), F.greatest(asked, F.lit(LEAST_WAIT))).otherwise(F.least(F.lit(FIRST_WAIT) * F.pow(F.lit(2.0), retry), F.lit(MOST_WAIT)))
     return F.when(quota, wait).otherwise(F.lit(0.0))
 
 
 def complete(finish_reason: Column) -> Column:
     """Whether an answer was finished; no reason means no answer."""
-    return F.coalesce(finish_reason == "STOP", F.lit(False))
+    return F.coalesce(finish_reason == FINISHED, F.lit(False))
 
 
 def lenient_json(text: Column) -> Column:
@@ -125,34 +126,52 @@ def model_or_fallback(df: DataFrame, key: str, text: str) -> DataFrame:
     return made.select(key, F.from_json("_m", MODEL).alias("model"), "is_fallback")
 
 
+QUOTA, ASKED = ("429", "quota"), r"retry in (\d+\.?\d*)"
+
+
+def seconds_to_wait(message: str, retry: int) -> float:
+    """What backoff gives for one message, for a worker that has it at hand."""
+    if not any(q in message.lower() for q in QUOTA):
+        return 0.0
+    asked = re.search(ASKED, message)
+    return max(float(asked[1]), LEAST_WAIT) if asked else min(FIRST_WAIT * 2.0**retry, MOST_WAIT)
+
+
 def call_model(prompts: DataFrame, key: str, prompt: str, caller: Caller, delay: float = LEAST_DELAY, tries: int = TRIES, partitions: int = 1) -> DataFrame:
-    """(key, answer): each prompt's answer, null after the last try. Calls of a partition are delay seconds apart; the
-    number of partitions is the number of callers at a time."""
+    """(key, answer, finish_reason): each prompt's answer, null after the last try. A caller gives answers, or (answer,
+    finish reason) pairs: one that was not finished is asked for again, and after the last try it is taken as it is.
+    Calls of a partition are delay seconds apart; the number of partitions is the number of callers at a time."""
     kind = prompts.schema[key].dataType.simpleString()
 
+    def ask(text: str, pause: Callable[[], None]) -> tuple[str | None, str | None]:
+        answer = reason = None
+        for retry in range(tries):
+            pause()
+            try:
+                got = caller([text])[0]
+            except Exception as e:
+                time.sleep(seconds_to_wait(str(e), retry) if delay else 0)
+                continue
+            answer, reason = got if isinstance(got, tuple) else (got, FINISHED)
+            if reason == FINISHED:
+                break
+        return answer, reason
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
+
+        def pause() -> None:
+            nonlocal last
+            wait = delay - (time.monotonic() - last)
+            if last and wait > 0:
+                time.sleep(wait)
+            last = time.monotonic()
+
         for b in batches:
-            out = []
-            for p in b[prompt]:
-                answer = None
-                for retry in range(tries):
-                    wait = delay - (time.monotonic() - last)
-                    if last and wait > 0:
-                        time.sleep(wait)
-                    last = time.monotonic()
-                    try:
-                        answer = caller([p])[0]
-                        break
-                    except Exception as e:
-                        text = str(e)
-                        if "429" in text or "quota" in text.lower():
-                            m = re.search(r"retry in (\d+\.?\d*)", text)
-                            time.sleep((max(float(m[1]), 10) if m else min(15 * 2**retry, 300)) if delay else 0)
-                out.append(answer)
-            yield pd.DataFrame({key: b[key].to_numpy(), "answer": pd.Series(out, dtype=object).to_numpy()})
+            made = [ask(p, pause) for p in b[prompt]]
+            yield pd.DataFrame({key: b[key].to_numpy(), "answer": pd.Series([a for a, _ in made], dtype=object).to_numpy(), "finish_reason": pd.Series([r for _, r in made], dtype=object).to_numpy()})
 
-    return prompts.select(key, prompt).coalesce(partitions).mapInPandas(run, f"`{key}` {kind}, answer string")
+    return prompts.select(key, prompt).coalesce(partitions).mapInPandas(run, f"`{key}` {kind}, answer string, finish_reason string")
 
 
 def scout(df: DataFrame, key: str, text: str, caller: Caller | None = None) -> DataFrame:
@@ -170,9 +189,14 @@ def scout(df: DataFrame, key: str, text: str, caller: Caller | None = None) -> D
     return listed.select(key, F.posexplode(kept).alias("no", "sentence"))
 
 
-def identify_contexts(found: DataFrame, key: str, caller: Caller | None = None) -> DataFrame:
-    """(key, contexts): the contexts of a document's sentences, cut at 50 000 characters; the default without an answer."""
-    joined = found.groupBy(key).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "sentence"))), lambda s: s["sentence"]), "\n"), F.lit(CONTEXT_CAP)).alias("prompt"))
+def _capped(text: Column, most: int | None) -> Column:
+    return text if most is None else F.left(text, F.lit(most))
+
+
+def identify_contexts(found: DataFrame, key: str, caller: Caller | None = None, most_chars: int | None = CONTEXT_CAP) -> DataFrame:
+    """(key, contexts): the contexts of a document's sentences, cut at most_chars as one prompt must be (None: whole);
+    the default without an answer."""
+    joined = found.groupBy(key).agg(_capped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "sentence"))), lambda s: s["sentence"]), "\n"), most_chars).alias("prompt"))
     default = F.array(F.lit(DEFAULT_CONTEXT))
     if caller is None:
         return joined.select(key, default.alias("contexts"))
@@ -181,10 +205,10 @@ def identify_contexts(found: DataFrame, key: str, caller: Caller | None = None)
     return answers.select(key, F.when(F.size(named) > 0, named).otherwise(default).alias("contexts"))
 
 
-def analyse(contexts: DataFrame, found: DataFrame, key: str, caller: Caller | None = None) -> DataFrame:
-    """(key, context, analysis): one call for all contexts of a document, its sentences cut at 60 000 characters; an
-    empty analysis for a context without an answer."""
-    joined = found.groupBy(key).agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "sentence"))), lambda s: s["sentence"]), "\n"), F.lit(SPECIALIST_CAP)).alias("text"))
+def analyse(contexts: DataFrame, found: DataFrame, key: str, caller: Caller | None = None, most_chars: int | None = SPECIALIST_CAP) -> DataFrame:
+    """(key, context, analysis): one call for all contexts of a document, its sentences cut at most_chars (None:
+    whole); an empty analysis for a context without an answer."""
+    joined = found.groupBy(key).agg(_capped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "sentence"))), lambda s: s["sentence"]), "\n"), most_chars).alias("text"))
     each = contexts.select(key, F.explode("contexts").alias("context"))
     if caller is None:
         return each.withColumn("analysis", F.lit("{}"))

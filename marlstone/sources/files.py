@@ -83,10 +83,26 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def _code(rows: DataFrame) -> DataFrame:
+    path = F.input_file_name()
+    return rows.select(F.regexp_extract(path, r"([^/\\]+)$", 1).alias("filename"), path.alias("path"), F.col("value").alias("content"))
+
+
 def read_code(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, content) of all Python files below a folder."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(folder, wholetext=True)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/\\]+)$", 1).alias("filename"), F.col("value").alias("content"))
+    """(filename, path, content) of all Python files below a folder; path tells files of one name apart."""
+    return _code(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").text(folder, wholetext=True))
+
+
+def stream_code(spark: SparkSession, folder: str) -> DataFrame:
+    """As read_code, as a stream: every Python file that is saved below the folder, once."""
+    return _code(spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(folder))
+
+
+def read_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, stage_no, stage, snapshot): the stage files of a run, named <date>_<time>_<number>_<stage>.json, as JSON."""
+    rows = spark.read.option("pathGlobFilter", "*_*_*_*.json").text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("snapshot"))
+    part = lambda i: F.regexp_extract("path", r"_(\d+)_([^_./\\]+)\.json$", i)
+    return rows.select("path", part(1).cast("int").alias("stage_no"), part(2).alias("stage"), "snapshot").filter("stage <> ''")
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:
@@ -113,4 +129,4 @@ def _fields(schema: str) -> str:
     return ", ".join(f.strip().replace(" ", ":", 1) for f in schema.split(", "))
 
 
-__all__ = ["list_documents", "read_bytes", "read_calls", "read_code", "read_documents", "read_model", "read_tests", "read_texts", "read_validations"]
+__all__ = ["list_documents", "read_bytes", "read_calls", "read_code", "read_documents", "read_model", "read_stages", "read_tests", "read_texts", "read_validations", "stream_code"]

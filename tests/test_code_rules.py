@@ -75,6 +75,8 @@ def test_terms_meet_by_equal_words(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     runs = set(df.select(rules.word_runs(F.col("name")).alias("r")).first()["r"])
     assert runs == {"http", "server", "item", "httpserver", "serveritem", "httpserveritem"}
+    long = spark.createDataFrame([("a_b_c_d_e_f_g_h",), ("__",), (None,)], "name string").select(rules.word_runs(F.col("name")).alias("r")).collect()
+    assert "abcdefgh" in long[0]["r"] and len(long[0]["r"]) == 36 and long[1]["r"] == []
 
 
 CODE = "# Client here\nx = Client\nclass Client(Base):\n  def run_it(self):\n    total = 1  # other\n"

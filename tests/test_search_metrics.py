@@ -1,3 +1,4 @@
+import json
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def test_golden_usage(spark):
     assert (t["total_api_calls"], t["total_prompt_tokens"], t["total_completion_tokens"], t["total_tokens"]) == (4, 7241, 12280, 19521) and float(t["total_cost"]) == 0.032872
     stages = {r["stage"]: float(r["estimated_cost"]) for r in metrics.usage(calls).filter("is_total = 0").collect()}
     assert stages == {"Scout": 0.001088, "Architect": 0.000277, "Specialist": 0.013329, "Synthesizer": 0.018178}
-    assert '"call_history"' in metrics.usage_report(calls, True).first()["report"]
+    assert json.loads(metrics.usage_report(calls).first()["report"])["summary"]["total_tokens"] == 19521 and metrics.history(calls, metrics.CALL_FIELDS).count() == 4
     assert metrics.totals(calls.filter("false")).first()["total_tokens"] == 0
     cost = spark.range(1).select(metrics.cost(F.lit(7000), F.lit(5000), F.lit(3000)).alias("c"), metrics.cost(F.lit(10000), F.lit(5000)).alias("d")).first()
     assert (float(cost["c"]), float(cost["d"])) == (0.01469, 0.0155)
@@ -85,7 +86,7 @@ def test_validations(spark):
     assert (s["total_validations"], s["files_with_violations"], s["total_violations_found"], s["violation_rate_percent"]) == (3, 1, 2, 33.33)
     assert {(r[0], r[1]) for r in metrics.type_histogram(v).collect()} == {("X", 1), ("Unknown", 1)}
     assert metrics.validation_summary(v.filter("false")).first()["violation_rate_percent"] == 0
-    assert '"validation_history"' in metrics.validation_report(v, True).first()["report"]
+    assert json.loads(metrics.validation_report(v).first()["report"])["violation_breakdown"] == {"Unknown": 1, "X": 1} and metrics.history(v, metrics.VALIDATION_FIELDS).count() == 3
     c = metrics.combined(metrics.normalised_calls(spark.createDataFrame([("t", "s", "o", 30, 10)], "timestamp string, stage string, operation string, prompt_tokens bigint, completion_tokens bigint")), v.filter("false")).first()
     assert c["avg_tokens_per_validation"] is None
 
@@ -117,9 +118,29 @@ def test_stages_with_a_caller(spark):
         raise ValueError("down")
 
     assert quick(docs, "doc_id", "text", broken).first()["answer"] is None
+    # answers that are not finished are asked for again; the last one is taken as it is
+    def cut_off(prompts, left=[2]):  # noqa: B006
+        left[0] -= 1
+        return [("part", "MAX_TOKENS") if left[0] >= 0 else ("whole", "STOP")]
+
+    assert [tuple(r)[1:] for r in quick(docs, "doc_id", "text", cut_off).collect()] == [("whole", "STOP")]
+    assert [tuple(r)[1:] for r in quick(docs, "doc_id", "text", lambda p: [("part", "MAX_TOKENS")]).collect()] == [("part", "MAX_TOKENS")]
+    for m, r in (("429 retry in 12.5", 0), ("Quota", 1), ("quota", 9), ("other", 0), ("429 retry in 3", 2)):
+        row = spark.createDataFrame([(m, r)], "m string, r int").select(synthesis.backoff(F.col("m"), F.col("r")).alias("w")).first()
+        assert row["w"] == synthesis.seconds_to_wait(m, r)
+    long = spark.createDataFrame([(1, 0, "x" * 60_000)], "doc_id bigint, no int, sentence string")
+    seen = lambda p: ['{"contexts": ["%d"]}' % len(p[0])]
+    assert [synthesis.identify_contexts(long, "doc_id", seen, n).first()["contexts"] for n in (50_000, None)] == [["50000"], ["60000"]]
     assert synthesis.scout(docs.select("doc_id", F.lit("x. y").alias("text")), "doc_id", "text").first()["sentence"] == "x. y"
     assert synthesis.identify_contexts(found, "doc_id").first()["contexts"] == ["CoreDomain"]
     wait = spark.createDataFrame([("429 retry in 12.5", 0), ("quota", 1), ("other", 0)], "m string, r int").select(synthesis.backoff(F.col("m"), F.col("r")).alias("w"))
     assert [r["w"] for r in wait.collect()] == [12.5, 30.0, 0.0]
     done = spark.createDataFrame([("STOP",), ("MAX_TOKENS",), (None,)], "f string").select(synthesis.complete(F.col("f")).alias("c"))
     assert [r["c"] for r in done.collect()] == [True, False, False]
+
+
+def test_history_and_running_sums(spark):
+    log = spark.createDataFrame([("2025-01-01 10:00:00", "s", 1, None), ("2025-01-02 10:00:00", "s", 2, 3.5)], "timestamp string, stage string, id int, value double")
+    assert [json.loads(r[0]) for r in metrics.history(log, metrics.CALL_FIELDS).collect()] == [{"timestamp": f"2025-01-0{i} 10:00:00", "stage": "s"} for i in (1, 2)]
+    rows = metrics.running(log.withColumn("t", F.col("timestamp").cast("timestamp")), ["stage"], ["t", "id"], "value").orderBy("id").collect()
+    assert [(r["running_n"], r["running_sum"], r["running_avg"]) for r in rows] == [(0, None, None), (1, 3.5, 3.5)]

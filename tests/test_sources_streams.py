@@ -38,7 +38,18 @@ def test_json_and_code(spark, tmp_path):
     assert files.read_validations(spark, str(tmp_path / "v.json")).first()["violation_types"] == ["a", "b"]
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.py").write_text("a = 1")
-    assert [tuple(r) for r in files.read_code(spark, str(tmp_path)).collect()] == [("x.py", "a = 1")]
+    assert [(r["filename"], r["content"]) for r in files.read_code(spark, str(tmp_path)).collect()] == [("x.py", "a = 1")]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.py").write_text("b = 2")
+    assert len({r["path"] for r in files.read_code(spark, str(tmp_path)).collect()}) == 2
+    q = files.stream_code(spark, str(tmp_path)).writeStream.format("memory").queryName("saved").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["content"] for r in spark.table("saved").collect()} == {"a = 1", "b = 2"}
+    (tmp_path / "20260115_171759_1_scout.json").write_text('{"stage": 1}')
+    (tmp_path / "20260115_171759_3_specialist.json").write_text('[\n]')
+    stages = files.read_stages(spark, str(tmp_path)).orderBy("stage_no").collect()
+    assert [(r["stage_no"], r["stage"], r["snapshot"]) for r in stages] == [(1, "scout", '{"stage": 1}'), (3, "specialist", "[\n]")]
 
 
 def test_chunk_store(spark, tmp_path):
