@@ -54,6 +54,26 @@ c AS (SELECT doc_id, grp, sum(length(x)) + count(*) - 1 n FROM g WHERE NOT hd GR
 r AS (SELECT c.*, num, nm, row_number() OVER (PARTITION BY c.doc_id ORDER BY grp) k FROM c LEFT JOIN heads USING (doc_id, grp))
 SELECT doc_id, CAST(k - 1 AS INTEGER) section_ord, CASE WHEN grp = 0 THEN '0' ELSE coalesce(num, CAST(k AS VARCHAR)) END section_number, CASE WHEN grp = 0 THEN 'Preamble' ELSE nm END section_name, CAST(n AS INTEGER) n_chars FROM r
 UNION ALL SELECT doc_id, 0, '1', 'Document Content', CAST(length(text) AS INTEGER) FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM r)""",
+    "c08_chunks": rf"""WITH RECURSIVE {_LINES}, s AS (SELECT *, {strip('x')} t FROM l),
+h AS (SELECT *, CASE WHEN length(t) < 150 AND regexp_matches(t, '^(\d+(?:\.\d+)*)\s+(.+)$') THEN regexp_extract(t, '^(\d+(?:\.\d+)*)\s+(.+)$', 1) END num,
+        length(t) < 150 AND starts_with(t, '#') md FROM s),
+g AS (SELECT *, num IS NOT NULL OR md hd, sum(CASE WHEN num IS NOT NULL OR md THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) grp FROM h),
+heads AS (SELECT doc_id, grp, num, CASE WHEN num IS NOT NULL THEN num || ' ' || regexp_extract(t, '^(\d+(?:\.\d+)*)\s+(.+)$', 2) ELSE {strip("regexp_replace(t, '^#+', '')")} END nm FROM g WHERE hd),
+c AS (SELECT doc_id, grp, string_agg(x, E'\n' ORDER BY i) content FROM g WHERE NOT hd GROUP BY 1, 2),
+r AS (SELECT c.*, num, nm, row_number() OVER (PARTITION BY c.doc_id ORDER BY grp) k FROM c LEFT JOIN heads USING (doc_id, grp)),
+sec AS (SELECT doc_id, k, CASE WHEN grp = 0 THEN '0' ELSE coalesce(num, CAST(k AS VARCHAR)) END no, CASE WHEN grp = 0 THEN 'Preamble' ELSE nm END nm, {strip('content')} body FROM r
+  UNION ALL SELECT doc_id, 1, '1', 'Document Content', {strip('text')} FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM r)),
+long AS (SELECT doc_id, k, list_filter(list_transform(string_split(body, E'\n\n'), lambda y: {strip('y')}), lambda y: y <> '') ps FROM sec WHERE length(body) > 250),
+f(doc_id, k, ps, i, cur, done) AS (SELECT doc_id, k, ps, 0, '', CAST(NULL AS VARCHAR) FROM long
+  UNION ALL
+  SELECT doc_id, k, ps, i + 1, CASE WHEN full_ THEN CASE WHEN tail = '' THEN p ELSE tail || E'\n\n' || p END ELSE longer END, CASE WHEN full_ THEN cur END
+  FROM (SELECT *, cur <> '' AND length(longer) > 250 full_, CASE WHEN length(cur) <= 30 THEN cur WHEN instr(right(cur, 30), '. ') > 1 AND instr(right(cur, 30), '. ') < 21 THEN substring(right(cur, 30), instr(right(cur, 30), '. ') + 2) ELSE right(cur, 30) END tail
+    FROM (SELECT *, ps[i + 1] p, CASE WHEN cur = '' THEN ps[i + 1] ELSE cur || E'\n\n' || ps[i + 1] END longer FROM f WHERE i < len(ps)))),
+made AS (SELECT doc_id, k, 0 i, body b FROM sec WHERE body <> '' AND length(body) <= 250
+  UNION ALL SELECT doc_id, k, i, done FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, k, i + 1, cur FROM f WHERE i = len(ps) AND cur <> ''),
+n AS (SELECT doc_id, k, b, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS INTEGER) j FROM made)
+SELECT doc_id || '_chunk_' || j id, nm || E'\n\n' || b AS text, doc_id, doc_name, doc_type, nm section_name, no section_number, CAST(j // 3 + 1 AS INTEGER) page_number, j chunk_index, 'inputs/' || doc_name file_path
+FROM n JOIN sec USING (doc_id, k) JOIN (SELECT doc_id, doc_name, doc_type FROM documents) USING (doc_id)""",
     "c05_chunk_stats": "SELECT upper(trim(doc_type)) kind, count(*) n, count(DISTINCT chunk_id) n_chunks, CAST(sum(length(text)) AS BIGINT) n_chars, count(*) FILTER (chunk_index // 3 + 1 = page_number) n_pages_as_estimated FROM chunks GROUP BY 1",
     "c08_chunk_ids": "SELECT DISTINCT chunk_id, doc_id, doc_id || '_chunk_' || chunk_index made_id, CAST(chunk_index // 3 + 1 AS INTEGER) page FROM chunks",
     "c10_windows": r"""WITH RECURSIVE w(doc_id, text, a, z) AS (
