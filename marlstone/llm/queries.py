@@ -158,7 +158,39 @@ SELECT group_id, any_value(model_id) model_id, any_value(n_records) n_records, {
 FROM w WHERE best = 1 GROUP BY group_id"""
 
 
+def _pieces_sql() -> str:
+    """SQL of the pieces of all chunks: one step of the recursion finds the next cut of each text."""
+    marks = {"paragraph": (("(?:\\n\\n|\\r\\r)", 2), ("\\r\\n\\r\\n", 4)), "line": (("[\\n\\r]", 1),), "sentence": (("(?:[.!?] |\\.\\t)", 2),), "space": (("[ \\t]", 1),)}
+
+    def last_end(mark: str, n: int, floor: str) -> str:
+        begin = f"greatest(0, {floor} + 1 - {n})"
+        return f"coalesce({begin} + nullif(length(regexp_extract(substring(text, {begin} + 1, high - {begin}), '(?s)^(.*{mark})', 1)), 0), -1)"
+
+    ends, cuts, kinds = [], [], []
+    for floor in ("soft", "low"):
+        for kind, of in marks.items():
+            e = f"{kind}_{floor}"
+            ends.append(f"greatest({', '.join(last_end(m, n, floor) for m, n in of)}) {e}" if len(of) > 1 else f"{last_end(*of[0], floor)} {e}")
+            # not between the two of a line end
+            cut = f"CASE WHEN {e} > {floor} THEN CASE WHEN substring(text, {e}, 1) = chr(13) AND substring(text, {e} + 1, 1) = chr(10) THEN CASE WHEN {e} < high THEN {e} + 1 WHEN {e} - 1 > {floor} THEN {e} - 1 END ELSE {e} END END"
+            cuts.append(cut)
+            kinds.append(f"WHEN {cut} IS NOT NULL THEN '{kind}'")
+    return f"""WITH RECURSIVE c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC NULLS LAST, doc_id DESC, chunk_index DESC) rn FROM chunks) WHERE rn = 1),
+t AS (SELECT c.*, greatest(1, max_chars) m, least(overlap_chars, greatest(1, max_chars) // 2) o FROM c JOIN chunk_limits k ON lower(k.doc_type) = CASE WHEN lower(trim(c.doc_type)) IN (SELECT lower(doc_type) FROM chunk_limits) THEN lower(trim(c.doc_type)) ELSE '*' END),
+w(chunk_id, text, m, o, k, pos, a, z, kind) AS (SELECT chunk_id, text, m, o, -1, 0, 0, 0, '' FROM t WHERE length(text) > m
+  UNION ALL
+  SELECT chunk_id, text, m, o, k + 1, CASE WHEN kind <> 'end' THEN z - o END, pos, z, kind
+  FROM (SELECT *, CASE WHEN rest THEN length(text) ELSE coalesce({', '.join(cuts)}, high) END z, CASE WHEN rest THEN 'end' {' '.join(kinds)} ELSE 'forced' END kind
+    FROM (SELECT *, {', '.join(ends)}
+      FROM (SELECT chunk_id, text, m, o, k, pos, pos + o low, pos + greatest(o, m // 2) soft, pos + m high, length(text) - pos <= m rest FROM w WHERE pos IS NOT NULL)))),
+p AS (SELECT chunk_id, k, a, z - a n, kind, substring(text, a + 1, z - a) piece FROM w WHERE k >= 0
+  UNION ALL SELECT chunk_id, 0, 0, coalesce(length(text), 0), 'whole', text FROM t WHERE text IS NULL OR length(text) <= m)
+SELECT t.chunk_id, t.doc_id, t.doc_name, t.doc_type, t.section_name, t.section_number, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY t.chunk_index NULLS FIRST, t.chunk_id, k) - 1 AS INTEGER) chunk_index,
+  CAST(k AS INTEGER) piece_no, CAST(a AS INTEGER) start_pos, CAST(n AS INTEGER) n_chars, kind cut_kind, piece AS text FROM t JOIN p USING (chunk_id)"""
+
+
 ORACLES = {
+    "p5_pieces": _pieces_sql(),
     "p3_survivors": _elected("1", "1", "1"),
     "p3_voted": _elected("trim(name)", "trim(context)", "ak"),
     "p3_found": f"""WITH {_P3} SELECT group_id, 'name' field, record_id FROM g WHERE r1 = 1 AND group_id <> hi
