@@ -120,13 +120,23 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return vector.embed(c.withColumn("item_id", number), "text")
 
 
-def r03_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The sources of a fixed set of violation messages over all chunks."""
-    asked = _values(spark, [(1, "Class 'Client' uses a synonym of 'Customer'"), (2, "The term 'Manager' is banned"), (3, "Parameter 'amount' is a plain float")], "query_id bigint, message string")
-    asked = asked.select("query_id", retrieval.query_text(F.col("message")).alias("query"))
+def _sourced(spark: SparkSession, d: str, messages: DataFrame) -> DataFrame:
+    asked = messages.select("message").distinct().select(F.xxhash64("message").alias("query_id"), retrieval.query_text(F.col("message")).alias("query"))
     return retrieval.sources(retrieval.search(asked, _index(spark, d)))
 
 
+def r03_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of every different message of all violations, over all chunks."""
+    return _sourced(spark, d, cut(v_violations(spark, d), "violations"))
+
+
+def r03_attached(spark: SparkSession, d: str) -> DataFrame:
+    """All violations with their sources."""
+    found = cut(v_violations(spark, d), "violations")
+    made = retrieval.attach(found.withColumn("query_id", F.xxhash64("message")), _sourced(spark, d, found))
+    return made.select("submission_id", "type", "subject", "line", "message", F.size("sources").alias("n_sources"), F.transform("sources", lambda s: s["section"]).alias("sections"))
+
+
 def r07_attach(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours attached to each query row as an ordered array, flattened again."""
     e = table(spark, d, "embeddings")
@@ -173,6 +183,22 @@ def a04_classes(spark: SparkSession, d: str) -> DataFrame:
     return code.rows_of(_parsed(spark, d), "classes", ["submission_id"])
 
 
+def a02_imports(spark: SparkSession, d: str) -> DataFrame:
+    return code.rows_of(_parsed(spark, d), "imports", ["submission_id"])
+
+
+def a05_functions(spark: SparkSession, d: str) -> DataFrame:
+    return code.rows_of(_parsed(spark, d), "functions", ["submission_id"])
+
+
+def a06_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return code.rows_of(_parsed(spark, d), "assignments", ["submission_id"])
+
+
+def a07_calls(spark: SparkSession, d: str) -> DataFrame:
+    return code.rows_of(_parsed(spark, d), "function_calls", ["submission_id"])
+
+
 def v_violations(spark: SparkSession, d: str) -> DataFrame:
     return rules.violations(_parsed(spark, d), _models(spark, d))
 
@@ -381,8 +407,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         d_clean_lines, d01_truncate, d06_rejected, c01_headings, c03_sections, c08_chunks, c05_chunk_stats, c08_chunk_ids, c10_windows, s_documents_by_source,
-        r02_knn, r04_knn_filtered, g17_knn_label_accuracy, r02_cells_recall, r05_query_text, r06_summary, r03_sources, r07_attach, r08_stats, k01_reindex,
-        a01_ast, a04_classes, v_violations, g12_validation_summary, g09_violation_histogram, v01_synonyms, v02_banned_terms, v03_naming, v04_context_boundary, v05_value_objects, v06_events, x01_keyword, x02_locate,
+        r02_knn, r04_knn_filtered, g17_knn_label_accuracy, r02_cells_recall, r05_query_text, r06_summary, r03_sources, r03_attached, r07_attach, r08_stats, k01_reindex,
+        a01_ast, a02_imports, a04_classes, a05_functions, a06_assignments, a07_calls, v_violations, g12_validation_summary, g09_violation_histogram, v01_synonyms, v02_banned_terms, v03_naming, v04_context_boundary, v05_value_objects, v06_events, x01_keyword, x02_locate,
         m02_sentence_fallback, m01_scout, m05_synthesise, m06_models, m09_backoff, m11_lenient_json,
         g09_type_histogram, k05_sorted_counts, g03_stage_rollup, g04_cost, g08_conditional_counts, g10_running_avg, g11_summary, g13_combined, g12_report, g05_report, g15_timings, g16_section_match, g19_code_tokens,
     )
