@@ -91,26 +91,46 @@ def share(part: Column, whole: Column, percent: bool = False) -> Column:
     return F.coalesce(F.try_divide(part * (100.0 if percent else 1.0), whole), F.lit(0.0))
 
 
-def validation_summary(v: DataFrame) -> DataFrame:
-    """One row: files with and without violations, rates, means and sums; zeros for an empty log."""
-    n, zero = F.count("*"), lambda c: F.coalesce(c, F.lit(0))
+def validation_parts(v: DataFrame) -> DataFrame:
+    """One row of sums from which a summary is made; the sums of parts of a log are those of the log."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    time = F.col("validation_time_ms").cast(EXACT)
     return v.agg(
-        n.alias("total_validations"), F.count_if(F.col("violations_count") > 0).alias("files_with_violations"), F.count_if(F.col("violations_count") == 0).alias("files_without_violations"),
-        F.round(share(F.count_if(F.col("violations_count") > 0), n, True), 2).alias("violation_rate_percent"), zero(F.sum("violations_count")).alias("total_violations_found"), F.round(share(F.sum("violations_count"), n), 2).alias("avg_violations_per_file"),
-        F.round(zero(F.avg(F.col("validation_time_ms").cast(EXACT))).cast("double"), 2).alias("avg_validation_time_ms"), F.round(zero(F.sum(F.col("validation_time_ms").cast(EXACT))).cast("double"), 2).alias("total_validation_time_ms"),
-        F.round(share(F.sum("file_size_chars"), n), 2).alias("avg_code_size_chars"), zero(F.sum("file_size_chars")).alias("total_code_size_chars"), F.round(share(F.sum("code_file_tokens"), n), 2).alias("avg_code_tokens"), zero(F.sum("code_file_tokens")).alias("total_code_tokens"),
-        F.count_if("has_sources").alias("validations_with_sources"), F.round(share(F.count_if("has_sources"), n, True), 2).alias("source_attachment_rate_percent"),
+        F.count("*").alias("n"), F.count_if(F.col("violations_count") > 0).alias("n_with"), F.count_if(F.col("violations_count") == 0).alias("n_without"), n(F.sum("violations_count")).alias("found"),
+        F.count(time).alias("n_timed"), n(F.sum(time)).alias("time"), n(F.sum("file_size_chars")).alias("size"), n(F.sum("code_file_tokens")).alias("tokens"), F.count_if("has_sources").alias("n_sources"),
+    )
+
+
+def summarised(parts: DataFrame) -> DataFrame:
+    """One row of parts: files with and without violations, rates, means and sums; zeros for an empty log."""
+    one = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_with", "n_without", "found", "n_timed", "time", "size", "tokens", "n_sources")])
+    n, mean = F.col("n"), lambda c: F.round(share(F.col(c), F.col("n")), 2)
+    rate = lambda c: F.round(share(F.col(c), n, True), 2)
+    time = F.coalesce(F.try_divide(F.col("time"), F.col("n_timed")), F.lit(0)).cast("double")
+    return one.select(
+        n.alias("total_validations"), F.col("n_with").alias("files_with_violations"), F.col("n_without").alias("files_without_violations"), rate("n_with").alias("violation_rate_percent"),
+        F.col("found").alias("total_violations_found"), mean("found").alias("avg_violations_per_file"), F.round(time, 2).alias("avg_validation_time_ms"), F.round(F.col("time").cast("double"), 2).alias("total_validation_time_ms"),
+        mean("size").alias("avg_code_size_chars"), F.col("size").alias("total_code_size_chars"), mean("tokens").alias("avg_code_tokens"), F.col("tokens").alias("total_code_tokens"),
+        F.col("n_sources").alias("validations_with_sources"), rate("n_sources").alias("source_attachment_rate_percent"),
     )
 
 
+def validation_summary(v: DataFrame) -> DataFrame:
+    """One row: files with and without violations, rates, means and sums; zeros for an empty log."""
+    return summarised(validation_parts(v))
+
+
+def report_of(summary: DataFrame, types: DataFrame) -> DataFrame:
+    """One row with a JSON report: a summary and the breakdown of types(violation_type, n)."""
+    names = summary.columns
+    listed = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("violation_type", "n")))).alias("violation_breakdown"))  # a row for each type
+    both = summary.withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.to_json(F.struct(F.struct(*names).alias("summary"), F.col("violation_breakdown"))).alias("report"))
+
+
 def validation_report(v: DataFrame) -> DataFrame:
     """One row with a JSON report: summary and breakdown by type. The validations are history's rows."""
-    one = validation_summary(v)
-    names = one.columns
-    types = type_histogram(v).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("violation_type", "n")))).alias("violation_breakdown"))  # a row for each type
-    both = one.withColumn("_one", F.lit(1)).join(types.withColumn("_one", F.lit(1)), "_one")
-    fields = [F.struct(*names).alias("summary"), F.col("violation_breakdown")]
-    return both.select(F.to_json(F.struct(*fields)).alias("report"))
+    return report_of(validation_summary(v), type_histogram(v))
 
 
 def running(df: DataFrame, group: list[str], at: list[str], value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from marlstone.operators.metrics import type_histogram, usage, validation_report
+from marlstone.operators.metrics import report_of, summarised, type_histogram, usage, validation_parts
 from marlstone.sources.store import write_report
 
 
@@ -28,11 +28,14 @@ def windowed_counts(events: DataFrame, at: str = "ts", kind: str = "event_type",
 
 
 def report_each_batch(validations: DataFrame, log: str, report: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch to the log and write the report over the whole log; a batch that is run again replaces itself."""
+    """Append each batch and its sums to the log and write the report over all batches; a batch that is run again
+    replaces itself. The report reads the batches' sums, a row and a few types each, never the log."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(log)
-        if not batch.isEmpty() or number:
-            write_report(validation_report(batch.sparkSession.read.parquet(log)), report)
+        spark = batch.sparkSession
+        for name, rows in (("entries", batch), ("sums", validation_parts(batch)), ("types", type_histogram(batch))):
+            rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{log}/{name}")
+        types = spark.read.schema("violation_type string, n bigint").parquet(f"{log}/types").groupBy("violation_type").agg(F.sum("n").alias("n"))
+        write_report(report_of(summarised(spark.read.parquet(f"{log}/sums")), types), report)
 
     return validations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
