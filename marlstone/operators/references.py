@@ -89,10 +89,18 @@ def registry(contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFra
     return bearers, refs.select(*REF, letters_digits(F.col("dep")).alias("name"), F.explode(scopes).alias("scope")).select(*REF, *_name_key(F.col("scope"), F.col("name")))
 
 
-def resolved(bearers: DataFrame, links: DataFrame) -> DataFrame:
-    """(reference, n_live, n_known, n_all): how many bearers of its name each reference has, of all its scopes."""
-    swept = sweep(bearers.select(*NAME, "registered_at", "removed_at"), links.select(*REF, *NAME), NAME, "registered_at", "removed_at", "registered_at")
-    return swept.groupBy(*REF).agg(*[F.sum(c).alias(c) for c in ("n_live", "n_known", "n_all")])
+def resolved(bearers: DataFrame, links: DataFrame, ref: list[str]) -> DataFrame:
+    """(ref, n_live, n_known, n_all): how many bearers of its name each reference has, of all its scopes."""
+    swept = sweep(bearers.select(*NAME, "registered_at", "removed_at"), links.select(*ref, *NAME), NAME, "registered_at", "removed_at", "registered_at")
+    return swept.groupBy(*ref).agg(*[F.sum(c).alias(c) for c in ("n_live", "n_known", "n_all")])
+
+
+#: Rows of a written table up to which it is sent to all executors; beyond, the same join shuffles.
+MOST_SENT = 1_000_000
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MOST_SENT else df
 
 
 def orphans(contexts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -111,23 +119,22 @@ def orphans(contexts: DataFrame, shared: DataFrame) -> DataFrame:
     spark = contexts.sparkSession
     bearers, links = registry(contexts, shared)
     bearers, links = cut(bearers, "bearers"), cut(links, "links")
-    known = cut(resolved(bearers, links), "resolved")
+    known = cut(resolved(bearers, links, REF), "resolved")
     reason = F.when(F.col("n_known") > 0, "deleted").when(F.col("n_all") > 0, "later").otherwise("missing")
     refs, records = rounds(spark, "orphan-refs"), rounds(spark, "orphan-records")
     none = F.lit(0).cast("bigint")
     # lost and open: how many live bearers are orphaned, and how many there are; an orphan has lost them all
-    part = refs.add(known.filter("n_live = 0").select(*REF, none.alias("lost"), none.alias("open"), reason.alias("reason")))
+    part = refs.add(known.filter("n_live = 0").select(*REF, none.alias("open"), none.alias("lost"), reason.alias("reason")))
     last = records.add(part.select(*RECORD).distinct())
-    live = known.filter("n_live > 0").select(*REF, F.col("n_live").alias("open"))
-    partly = part.filter("lost < open").select(*REF, "lost")
-    while not last.isEmpty():
-        names = bearers.join(last, RECORD, "left_semi").select(*NAME, "registered_at", "removed_at")
-        asked = links.join(names.select(*NAME).distinct(), NAME, "left_semi")
-        lost = resolved(names, asked).filter("n_live > 0").select(*REF, F.col("n_live").alias("lost"))
-        lost = lost.unionByName(partly).groupBy(*REF).agg(F.sum("lost").alias("lost"))
-        # null times have no live bearers, so no key of the join is null
-        part = refs.add(live.join(lost, REF).select(*REF, "lost", "open", F.lit("inherited").alias("reason")))
-        partly = part.filter("lost < open").select(*REF, "lost")
+    # only references with live bearers can be inherited; null times have none, so no key of this join is null
+    links = cut(links.join(known.filter("n_live > 0").select(*REF, F.col("n_live").alias("open")), REF), "live-links")
+    partly = part.filter("lost < open").select(*REF, "open", "lost")
+    while n_last := last.count():
+        names = cut(bearers.join(_sent(last, n_last), RECORD, "left_semi").select(*NAME, "registered_at", "removed_at"), "names")
+        asked = links.join(_sent(names.select(*NAME).distinct(), names.count()), NAME, "left_semi")
+        lost = resolved(names, asked, [*REF, "open"]).filter("n_live > 0").select(*REF, "open", F.col("n_live").alias("lost"))
+        part = refs.add(lost.unionByName(partly).groupBy(*REF, "open").agg(F.sum("lost").alias("lost")).withColumn("reason", F.lit("inherited")))
+        partly = part.filter("lost < open").select(*REF, "open", "lost")
         last = records.add(part.filter("lost >= open").select(*RECORD).distinct().join(records.all(), RECORD, "left_anti"))
     found = refs.all().filter("lost >= open")
     return found.select(_table_name(), "context_id", "dep_no", "registered_at", "reason", F.date_format("registered_at", "yyyy-MM").alias("period"), F.col("round").alias("depth"), (F.col("round") == 0).alias("direct"))
