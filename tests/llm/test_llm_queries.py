@@ -21,7 +21,7 @@ def test_query(spark, name):
         for p in Path(D).glob("*.parquet"):
             c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
         assert rows(got) == rows(c.execute(queries.ORACLES[name]).df())
-    assert len(got) or name == "p8_found"
+    assert len(got) or name in ("p5_ranges", "p8_found")  # no long or shared texts in the smallest tables
 
 
 def test_nothing_else_imports_this_package():
